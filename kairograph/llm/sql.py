@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kairograph.llm.licenses import COMMENT, LOWER, NOISE, RULES, SENTENCE_END, SENTENCES, UPPER, WRAPPED
 from kairograph.llm.sharding import JUMP_MULTIPLIER, MIX_FACTOR, MIX_MODULUS
 
 OP2 = r"""
@@ -100,5 +101,69 @@ FROM spent GROUP BY doc_id, size, source_size, target
 """
 
 
+
+
+def _op1() -> str:
+    known = ", ".join(f"('{ident}', '{sentence}')" for ident, sentence in SENTENCES)
+    steps, got = [], []
+    for k, (licence, sequence) in enumerate(RULES):
+        wanted = "".join(f",{x}," for x in sequence)
+        got.append(f"CASE WHEN contains(s{k}, '{wanted}') THEN '{licence}' END")
+        steps.append(f"replace(s{k}, '{wanted}', ',+,') AS s{k + 1}")
+    chain = "SELECT * FROM seq"
+    for step in steps:
+        chain = f"SELECT *, {step} FROM ({chain})"
+    return f"""
+WITH known(ident, sentence) AS (VALUES {known}),
+parts AS (
+  SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '{COMMENT}', chr(10), 'g'), '{WRAPPED}', '\\1 \\2', 'g'), '{SENTENCE_END}') AS p
+  FROM documents
+), each AS (
+  SELECT doc_id, i, trim(regexp_replace(translate(p[i], '{UPPER}', '{LOWER}'), '{NOISE}', ' ', 'g')) AS sentence
+  FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)
+), found AS (
+  SELECT doc_id, i, coalesce(ident, '-') AS ident FROM each LEFT JOIN known USING (sentence) WHERE sentence <> ''
+), grouped AS (
+  SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (ident <> '-') AS n_known,
+    string_agg(ident, ',' ORDER BY i) FILTER (ident <> '-') AS ids, string_agg(',' || ident || ',', '' ORDER BY i) AS s0
+  FROM found GROUP BY 1
+), seq AS (
+  SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_known, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(s0, '') AS s0
+  FROM documents LEFT JOIN grouped USING (doc_id)
+)
+SELECT doc_id, n_sentences, n_known, sentence_ids,
+  array_to_string(list_filter([{", ".join(got)}], lambda x, k: x IS NOT NULL AND list_position([{", ".join(got)}], x) = k), ',') AS licenses,
+  n_known > 0 AND regexp_replace(s{len(RULES)}, '[-+,]', '', 'g') <> '' AS unmatched
+FROM ({chain})
+"""
+
+
+OP1 = _op1()
+
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP10 = """
+WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+windows AS (
+  SELECT doc_id, i, l[i:i + 2] AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM lines WHERE len(l) >= 3)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), covered AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
+runs AS (SELECT doc_id, count(*) AS n_removed, list(i) AS cut, count(DISTINCT i - r) AS n_spans FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM covered) GROUP BY 1)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  CASE WHEN cut IS NULL THEN text ELSE coalesce(array_to_string(list_filter(l, lambda x, k: NOT list_contains(cut, k)), chr(10)), '') END AS text
+FROM lines LEFT JOIN runs USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op8_sharding": OP8, "op9_mixing": OP9}
+    return {"op1_license_scan": OP1, "op2_decontamination": OP2, "op4_topk": OP4, "op8_sharding": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10}
