@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairograph.llm import decontam, mixing, sharding, simhash
+from kairograph.llm import decontam, mixing, sharding, simhash, toxicity
 from kairograph.llm.common import stored, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be toxic go."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest doc_id."""
     return simhash.deduplicated(docs)
@@ -29,6 +34,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("simhash near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mix_sources),
