@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import decontam, licenses, linededup, mixing, pieces, sharding, simhash, topk, toxicity
+from kairograph.llm import decontam, licenses, linededup, mixing, pieces, pitmanyor, sharding, simhash, topk, toxicity
 from kairograph.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.scored(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
