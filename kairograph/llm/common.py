@@ -55,3 +55,12 @@ def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+`` of a text; 0 for null."""
     flat = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
     return F.when(F.length(flat) > 0, F.size(F.split(flat, " +"))).otherwise(0).cast("long")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows in one column ``_row``, whatever their columns are called, with ``_id`` and ``_key``."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col("doc_id").cast("long").alias("_id"),
+        F.xxhash64("text").alias("_key"),
+    )

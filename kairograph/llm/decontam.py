@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import stored
+from kairograph.llm.common import packed, stored
 
 WINDOW = 13
 
@@ -267,8 +267,6 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with their columns."""
-    marked = judged(docs, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    kept = docs.withColumn("_k", F.xxhash64("text")).join(
-        marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti"
-    )
-    return kept.drop("_k")
+    marked = judged(docs, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_bad_key")).distinct()
+    kept = packed(docs).join(marked, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_key") == F.col("_bad_key")), "left_anti")
+    return kept.select("_row.*")

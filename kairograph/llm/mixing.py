@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import stored, word_count
+from kairograph.llm.common import packed, stored, word_count
 
 WEIGHTS = (3, 1, 2)
 
@@ -140,18 +140,17 @@ def mix_summary(mixed: DataFrame) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them, in the order of finish times."""
-    names = docs.columns
     taken = mix(docs, **how).where("taken").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_text"),
+        F.col("doc_id").alias("_of"), F.col("source").alias("_of_source"), F.col("text_key").alias("_of_key"),
         F.col("copy").alias("_copy"), F.col("finish").alias("_finish"),
     )
-    same = Window.partitionBy("doc_id", "source", "_key").orderBy(F.lit(0))
-    keyed = docs.withColumn("_key", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same) - 1)
-    joined = keyed.join(
+    keyed = packed(docs).withColumn("_source", F.col("_row.source").cast("string"))
+    same = Window.partitionBy("_id", "_source", "_key").orderBy(F.lit(0))
+    joined = keyed.withColumn("_nth", F.row_number().over(same) - 1).join(
         taken,
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & F.col("_key").eqNullSafe(F.col("_text"))
+        F.col("_id").eqNullSafe(F.col("_of"))
+        & F.col("_source").eqNullSafe(F.col("_of_source"))
+        & (F.col("_key") == F.col("_of_key"))
         & (F.col("_nth") == F.col("_copy")),
     )
-    return joined.repartitionByRange("_finish").sortWithinPartitions("_finish").select(*names)
+    return joined.repartitionByRange("_finish").sortWithinPartitions("_finish").select("_row.*")

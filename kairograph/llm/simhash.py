@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import ASCII_LOWER, NULL_ID, stored
+from kairograph.llm.common import ASCII_LOWER, NULL_ID, packed, stored
 from kairograph.llm.components import components
 
 SHINGLE = 3
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest doc_id."""
-    firsts = near_duplicates(docs).select(F.coalesce("component_id", F.lit(NULL_ID)).alias("_id"), F.col("first_key").alias("_key")).distinct()
-    keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_k": F.xxhash64("text")})
-    kept = keyed.join(firsts, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["_i", "_k"]).drop("_i", "_k")
+    firsts = near_duplicates(docs).select(F.coalesce("component_id", F.lit(NULL_ID)).alias("_first"), F.col("first_key").alias("_first_key")).distinct()
+    keyed = packed(docs).withColumn("_id", F.coalesce("_id", F.lit(NULL_ID)))
+    kept = keyed.join(firsts, (F.col("_id") == F.col("_first")) & (F.col("_key") == F.col("_first_key")), "left_semi")
+    return kept.dropDuplicates(["_id", "_key"]).select("_row.*")
