@@ -425,7 +425,7 @@ def test_model_beats_the_base_on_held_out_text(spark):
 
 def toxic_rows(n=1500):
     rng = random.Random(11)
-    plain = [f"w{i}" for i in range(400)]
+    plain = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(2)) for i in range(400)]
     bad = [f"schimpf{c}" for c in "abcdef"] + ["idiot", "moron"]
     docs, labels = [], []
     for i in range(n):
