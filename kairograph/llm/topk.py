@@ -12,12 +12,14 @@ start from the scores over the longest vectors of the whole table.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import stored
+from kairograph.llm.common import shared_dir, stored
 
 SCALE = 256
 TILE = 512
@@ -116,7 +118,7 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, block: int = 4096, head
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates are
     all rows of another vec_id.  ``block`` queries at a time are sent to the
-    tasks, ``head`` longest vectors give their first thresholds; both bounds
+    tasks, a job each, ``head`` longest vectors give their first thresholds; both bounds
     are parameters.  Vectors of several lengths count as padded with zeros.
     Rows that repeat a vec_id are candidates each; as queries they count once,
     by the smallest vector.  Products are exact while they stay below 2^53.
@@ -131,16 +133,18 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, block: int = 4096, head
     longest = vectors.orderBy(F.desc("norm"), "vec_id").limit(head).toPandas()
     head_x, head_ids = _matrix(longest["v"], width), longest["vec_id"].to_numpy(np.int64)
     asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    out = None
-    pending: list = []
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    at, blocks = f"{shared_dir(spark)}/topk-{uuid.uuid4().hex}", 0
 
-    def search(rows: list) -> DataFrame:
+    def search(rows: list) -> None:
+        """One job: the block's queries against all vectors; its result is stored, so the driver holds one block at a time."""
+        nonlocal blocks
         ids = np.array([r["vec_id"] for r in rows], np.int64)
         q = _matrix(pd.Series([np.array(r["v"]) for r in rows]), width)
         first = best(q, ids, np.full(len(q), -np.inf), head_x, head_ids, turn, k)
         count = first.groupby("query_id")["score"].agg(["size", "min"])
-        full = count[count["size"] >= k]["min"].reindex(ids)
         # what ties with the threshold is kept: a smaller vec_id may stand elsewhere
+        full = count[count["size"] >= k]["min"].reindex(ids)
         sent = spark.sparkContext.broadcast((q, ids, full.fillna(-np.inf).to_numpy(np.float64), turn))
 
         def run(batches):
@@ -148,16 +152,20 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, block: int = 4096, head
             for pdf in batches:
                 yield best(q, ids, floor, _matrix(pdf["v"], width), pdf["vec_id"].to_numpy(np.int64), turn, k)
 
-        return vectors.select("vec_id", "v").mapInPandas(run, schema)
+        found = vectors.select("vec_id", "v").mapInPandas(run, schema)
+        kept = found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+        kept.write.parquet(f"{at}/block={blocks}")
+        sent.destroy()
+        blocks += 1
 
+    pending: list = []
     for row in asked.orderBy("vec_id").toLocalIterator():
         pending.append(row)
         if len(pending) == block:
-            found = search(pending)
-            out = found if out is None else out.unionByName(found)
+            search(pending)
             pending = []
-    if pending or out is None:
-        found = search(pending) if pending else spark.createDataFrame([], schema)
-        out = found if out is None else out.unionByName(found)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if pending:
+        search(pending)
+    whole = "query_id bigint, vec_id bigint, score bigint, rank int"
+    out = spark.read.schema(whole).parquet(at) if blocks else spark.createDataFrame([], whole)
+    return out.select("query_id", "rank", "vec_id", "score")
