@@ -23,7 +23,7 @@ SUPPLY = "supply AS (SELECT 's' || l_suppkey AS source_id, 'p' || l_partkey AS t
 CONCEPTS = "concepts AS (SELECT 's' || s_suppkey AS id, s_name AS title, s_acctbal < 0 AS retired FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name, p_size = 13 FROM part)"
 PLACES = "places AS (SELECT 'r' || n_regionkey AS source_id, 'n' || n_nationkey AS target_id, 'HASNATION' AS edge_type, 1.0::DOUBLE AS weight FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'HASCUSTOMER', 0.5 FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'HASORDER', 0.25 FROM orders)"
 DOCS = "docs AS (SELECT d.doc_id AS id, source AS title, text AS content, t.doc_id IS NOT NULL AS retired FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) t ON t.doc_id = d.doc_id)"
-RING = "ring AS (SELECT 'o' || lpad(o_orderkey::VARCHAR, 9, '0') AS id, 'o' || lpad((min(o_orderkey) OVER (PARTITION BY o_custkey))::VARCHAR, 9, '0') AS first FROM orders WHERE o_custkey % 5 = 0)"
+RING = "ring AS (SELECT 'o' || lpad(o_orderkey::VARCHAR, 9, '0') AS id, 'o' || lpad((min(o_orderkey) OVER (PARTITION BY o_custkey))::VARCHAR, 9, '0') AS first FROM orders)"
 
 
 def _fold(ts: str) -> str:
@@ -69,7 +69,7 @@ SQL: dict[str, str] = {
     "p14_hydrate_omit": f"WITH {CONCEPTS} SELECT id, title FROM concepts WHERE false",
     "j05_superseded_assertions": f"WITH {ASSERTIONS} SELECT source_id, count(*) AS superseded FROM assertions a WHERE EXISTS (SELECT 1 FROM assertions b WHERE b.source_id = a.source_id AND b.target_id = a.target_id AND b.recorded_at > a.recorded_at) GROUP BY 1",
     "j06_unnamed_concepts": f"WITH {SUPPLY}, {CONCEPTS} SELECT id FROM concepts WHERE NOT EXISTS (SELECT 1 FROM supply WHERE weight > 45 AND (source_id = id OR target_id = id))",
-    "j10_overlapping_intervals": f"WITH {INTERVALS}, i AS (SELECT source_id, valid_from, least(valid_to, valid_from + INTERVAL 2 DAY) AS valid_to FROM intervals WHERE edge_type = 'CLICK') SELECT a.source_id, {_text('a.valid_from')} AS valid_from, {_text('b.valid_from')} AS other_from FROM i a JOIN i b ON a.source_id = b.source_id AND a.valid_from <> b.valid_from AND greatest(a.valid_from, b.valid_from) < least(a.valid_to, b.valid_to)",
+    "j10_overlapping_intervals": f"WITH {INTERVALS}, i AS (SELECT source_id, target_id, valid_from, least(valid_to, valid_from + INTERVAL 2 DAY) AS valid_to FROM intervals) SELECT a.source_id, a.target_id, {_text('a.valid_from')} AS valid_from, {_text('b.valid_from')} AS other_from FROM i a JOIN i b ON a.source_id = b.source_id AND a.target_id = b.target_id AND a.valid_from <> b.valid_from AND greatest(a.valid_from, b.valid_from) < least(a.valid_to, b.valid_to)",
     "j11_as_of_join": f"WITH {INTERVALS}, days AS (SELECT DISTINCT date_trunc('day', ts) AS t FROM events) SELECT {_text('t')} AS ts, count(*) AS edges FROM days JOIN intervals ON valid_from <= t AND t < valid_to GROUP BY 1",
     "a01_corpus_counts": f"WITH {CONCEPTS} SELECT retired, count(*) AS n FROM concepts GROUP BY 1",
     "a02_log_bounds": f"WITH {LOG} SELECT count(*) AS n, min(seq_id) AS first_seq, max(seq_id) AS last_seq, {_text('min(recorded_at)')} AS first_at, {_text('max(recorded_at)')} AS last_at FROM log",
@@ -105,7 +105,7 @@ SQL: dict[str, str] = {
     "m06_g16_annotations": f"WITH {SUPPLY}, {CONCEPTS}, ends AS (SELECT source_id AS id, weight FROM supply UNION ALL SELECT target_id, weight FROM supply) SELECT id AS concept_id, 'degree' AS label, count(weight)::VARCHAR AS value, '{INSTANT}' AS computed_at FROM concepts LEFT JOIN ends USING (id) GROUP BY 1",
     "v04_f09_vector_search": f"WITH {_near(1, 10, 'near')} SELECT id AS concept_id, round(score, 6) + 0.0 AS score FROM near",
     "f09_distances": f"SELECT e.vec_id AS concept_id, round({_cosine('e.embedding', 'q.embedding')}, 6) + 0.0 AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q",
-    "f08_tokens": "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> ''))::BIGINT AS n FROM documents WHERE lang = 'en'",
+    "f08_tokens": "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> ''))::BIGINT AS n FROM documents",
     "v05_f10_keyword_search": f"WITH {_bm25(['the', 'ing'], 50)} SELECT id, round(score, 6) AS score FROM words",
     "v07_rank_fusion": f"WITH {_near(1, 60, 'a')}, {_near(2, 60, 'b')} SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS score FROM a FULL JOIN b ON a.id = b.id",
     "v08_hybrid_search": f"WITH {_near(1, 50, 'near')}, {_bm25(['the', 'of'], 50)}, fused AS (SELECT coalesce(a.id, b.id) AS id, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score, a.rank AS vector_rank, b.rank AS keyword_rank FROM near a FULL JOIN words b ON a.id = b.id) SELECT id, round(score, 9) AS score, vector_rank, keyword_rank FROM fused ORDER BY fused.score DESC, id LIMIT 10",

@@ -1,9 +1,10 @@
 """The ledger on a folder of Parquet files.
 
 Files are never changed.  A commit writes new files and then one JSON row that
-lists the files of every table; readers see the tables of the newest row.  What
-can be derived (concepts, current belief, the keyword index) isn't stored.  One
-writer at a time is assumed; a second one fails on the number of its commit.
+lists the files of every table; readers see the tables of the newest row.  Concepts
+are derived from the log; current belief and the keyword index can be stored
+and are always made anew from the assertions and the log.  One writer at a time
+is assumed; a second one fails on the number of its commit.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import json
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -27,6 +29,7 @@ from kairograph.operators.numbering import numbered
 
 TABLES = {
     "links": T.LINK, "log": T.LOG, "embeddings": T.EMBEDDING, "annotations": T.ANNOTATION,
+    "links_current": T.LINK, "postings": "term string, id string, length int, tf bigint",
     "cold_links": T.LINK, "cold_log": T.LOG, "cold_concepts": T.CONCEPT,
 }
 
@@ -37,6 +40,8 @@ class Ledger:
     def __init__(self, spark: SparkSession, root: str, clock: Clock | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.clock = clock or Clock()
+        #: By kind of commit: how many there were, and seconds in total and of the longest.
+        self.metrics: dict[str, list[float]] = {}
         self._state = self._newest()
         if self._state["schema_version"] != T.SCHEMA_VERSION:
             raise SchemaVersion(got=self._state["schema_version"], expected=T.SCHEMA_VERSION)
@@ -48,11 +53,12 @@ class Ledger:
     def _newest(self) -> dict:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return {"n": 0, "schema_version": T.SCHEMA_VERSION, "models": {}, "snapshots": [], "files": {t: [] for t in TABLES}}
+            return {"n": 0, "schema_version": T.SCHEMA_VERSION, "models": {}, "snapshots": [], "current_of": 0, "postings_at": 0, "files": {t: [] for t in TABLES}}
         row = self.spark.read.schema("n bigint, state string").json(f"{self.root}/commits/*").orderBy(F.desc("n")).first()
         return json.loads(row["state"])
 
     def _commit(self, appended: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, **changes) -> None:
+        begun, kind = time.monotonic(), "+".join(sorted([*(appended or {}), *(replaced or {}), *changes]))
         state = json.loads(json.dumps(self._state)) | changes
         state["n"] += 1
         for table, df, fresh in [*((t, d, False) for t, d in (appended or {}).items()), *((t, d, True) for t, d in (replaced or {}).items())]:
@@ -62,6 +68,9 @@ class Ledger:
         row = self.spark.createDataFrame([(state["n"], json.dumps(state))], "n bigint, state string")
         row.coalesce(1).write.mode("error").json(f"{self.root}/commits/{state['n']:09d}")
         self._state = state
+        n, total, longest = self.metrics.get(kind, [0, 0.0, 0.0])
+        took = time.monotonic() - begun
+        self.metrics[kind] = [n + 1, total + took, max(longest, took)]
 
     def _fields(self, table: str) -> list[str]:
         return [part.strip().split()[0] for part in TABLES[table].split(",")]
@@ -103,7 +112,30 @@ class Ledger:
         return self.table("log")
 
     def current(self) -> DataFrame:
-        return temporal.latest_belief(self.links())
+        """Current belief: the stored projection, if there is one, with the assertions that came since."""
+        done = self._state["current_of"]
+        if not done:
+            return temporal.latest_belief(self.links())
+        fresh = self._state["files"]["links"][done:]
+        stored = self.table("links_current")
+        if not fresh:
+            return stored
+        return temporal.latest_belief(stored.unionByName(self.spark.read.schema(T.LINK).parquet(*[f"{self.root}/{f}" for f in fresh])))
+
+    def rebuild_current(self) -> None:
+        """Store current belief anew from the assertions, in the order of sources so that scans of few sources skip files."""
+        told = temporal.latest_belief(self.links())
+        ordered = told.repartitionByRange("source_id").sortWithinPartitions("source_id", "target_id")
+        self._commit(replaced={"links_current": ordered}, current_of=len(self._state["files"]["links"]))
+
+    def rebuild_index(self) -> None:
+        """Store the keyword index of the concepts as they are."""
+        self._commit(replaced={"postings": retrieval.postings(self.concepts())}, postings_at=self._state["n"] + 1)
+
+    def index(self) -> DataFrame:
+        """The stored keyword index while no commit came after it, else one made anew."""
+        fresh = self._state["postings_at"] == self._state["n"]
+        return self.table("postings") if fresh else retrieval.postings(self.concepts())
 
     def concepts(self) -> DataFrame:
         """Live row of each concept that isn't archived."""
@@ -175,6 +207,12 @@ class Ledger:
         integrity.check_edges(new, self.current(), self.concepts())
         self._append(new)
 
+    def bulk_import(self, rows: DataFrame, slices: int = 1) -> None:
+        """Assert edges in ``slices`` commits with a stamp each; every one is all or none."""
+        for k in range(slices):
+            part = rows if slices == 1 else rows.where(F.pmod(F.xxhash64("source_id", "target_id", "edge_type"), F.lit(slices)) == k)
+            self.assert_edges(part)
+
     def _append(self, new: DataFrame) -> None:
         names = ["source_id", "target_id", "edge_type", "valid_from", "valid_to", "weight", "properties"]
         key = F.concat_ws("|", "source_id", "target_id", "edge_type", formatted("valid_from"))
@@ -293,7 +331,9 @@ class Ledger:
                 "log": log.join(rows.select("seq_id"), "seq_id", "left_anti"),
                 "embeddings": self.table("embeddings").join(gone.select(F.col("id").alias("concept_id")), "concept_id", "left_anti"),
                 "annotations": self.annotations().join(gone.select(F.col("id").alias("concept_id")), "concept_id", "left_anti"),
+                "links_current": temporal.latest_belief(hot),
             },
+            current_of=1,
         )
         return report
 
@@ -336,11 +376,11 @@ class Ledger:
 
     def keyword_search(self, text: str, k: int) -> DataFrame:
         concepts = self.concepts()
-        return retrieval.keyword_search(retrieval.postings(concepts), concepts, text, k)
+        return retrieval.keyword_search(self.index(), concepts, text, k)
 
     def hybrid_search(self, model: str, query: list[float], text: str, k: int, depth: int | None = None) -> DataFrame:
         concepts = self.concepts()
-        return retrieval.hybrid_search(self.embeddings(model), retrieval.postings(concepts), concepts, query, text, k, depth)
+        return retrieval.hybrid_search(self.embeddings(model), self.index(), concepts, query, text, k, depth)
 
     def filtered_search(self, model: str, query: list[float], start: Iterable[str], k: int, how: graph.Traversal | None = None):
         return retrieval.FilteredSearch(k).run(self.embeddings(model), self.traverse_ids(start, how), query)
@@ -348,8 +388,8 @@ class Ledger:
     # integrity
 
     def audit(self, current: DataFrame | None = None) -> None:
-        """Compare stored current belief (default: the projection itself) with the assertions."""
-        integrity.audit(current or self.current(), self.links())
+        """Raise if current belief as this handle gives it, or ``current``, differs from the assertions' projection."""
+        integrity.audit(self.current() if current is None else current, self.links())
 
 
 def retained(snapshots: list[dict], newest: int = 5, days: int = 30) -> list[dict]:

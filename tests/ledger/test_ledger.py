@@ -296,3 +296,18 @@ def test_log_as_a_stream(book, tmp_path, spark):
     q = maintain.activity(maintain.log_stream(spark, path)).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("activity").agg(F.sum("rows")).first()[0] == 5
+
+
+def test_stored_current_belief_follows_and_can_be_rebuilt(book):
+    ledger, clock = book
+    ledger.bulk_import(ledger.spark.createDataFrame([("a", "b", "X", DAY.format(1), OPEN, 1.0, "{}"), ("b", "c", "X", DAY.format(1), OPEN, 1.0, "{}")], "source_id string, target_id string, edge_type string, valid_from string, valid_to string, weight double, properties string"), slices=2)
+    ledger.rebuild_current()
+    clock.set(DAY.format(8))
+    ledger.assert_edges([EdgeAssertion("a", "b", "X", DAY.format(1), DAY.format(4), 5.0), edge("c", "a")])
+    assert sorted((r.source_id, r.weight) for r in ledger.current().collect()) == [("a", 5.0), ("b", 1.0), ("c", 1.0)]
+    ledger.audit()
+    ledger.rebuild_index()
+    assert ledger.keyword_search("title a", 3).first()["id"] == "a"
+    ledger.archive(DAY.format(9))
+    ledger.audit()
+    assert ledger.current().count() == 2 and ledger.metrics["links+log"][0] >= 2
