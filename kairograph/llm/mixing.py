@@ -140,17 +140,19 @@ def mix_summary(mixed: DataFrame) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them, in the order of finish times."""
+    of = lambda *names: F.xxhash64(*names).alias("_at")
     taken = mix(docs, **how).where("taken").select(
         F.col("doc_id").alias("_of"), F.col("source").alias("_of_source"), F.col("text_key").alias("_of_key"),
-        F.col("copy").alias("_copy"), F.col("finish").alias("_finish"),
+        F.col("copy").alias("_copy"), F.col("finish").alias("_finish"), of("doc_id", "source", "text_key"),
     )
     keyed = packed(docs).withColumn("_source", F.col("_row.source").cast("string"))
-    same = Window.partitionBy("_id", "_source", "_key").orderBy(F.lit(0))
-    joined = keyed.withColumn("_nth", F.row_number().over(same) - 1).join(
-        taken,
-        F.col("_id").eqNullSafe(F.col("_of"))
-        & F.col("_source").eqNullSafe(F.col("_of_source"))
-        & (F.col("_key") == F.col("_of_key"))
-        & (F.col("_nth") == F.col("_copy")),
+    # One shuffle of the texts serves the numbers of equal rows and the join: both are by _at, what else must agree is a condition.
+    keyed = keyed.select("*", of("_id", "_source", "_key")).repartition("_at")
+    same = Window.partitionBy("_at", "_id", "_source", "_key").orderBy(F.lit(0))
+    joined = keyed.withColumn("_nth", F.row_number().over(same) - 1).join(taken, "_at").where(
+        F.coalesce(F.col("_id") - F.col("_of") == 0, F.col("_id").isNull() & F.col("_of").isNull())
+        & F.coalesce(F.concat("_source", F.lit("")) == F.concat("_of_source", F.lit("")), F.col("_source").isNull() & F.col("_of_source").isNull())
+        & (F.col("_key") - F.col("_of_key") == 0)
+        & (F.col("_nth") - F.col("_copy") == 0)
     )
     return joined.repartitionByRange("_finish").sortWithinPartitions("_finish").select("_row.*")
