@@ -37,8 +37,8 @@ for _n in range(256):
 
 def crc32_sql(text: str) -> str:
     """CRC-32 of the UTF-8 bytes of a VARCHAR expression, as BIGINT."""
-    digits = f"hex(encode({text}))"
-    byte = f"list_transform(range(1, length({digits}) + 1, 2), lambda i: ('0x' || {digits}[i:i + 1])::BIGINT)"
+    pairs = f"string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')"
+    byte = f"list_transform(list_filter({pairs}, lambda h: h <> ''), lambda h: ('0x' || h)::BIGINT)"
     return (
         f"xor(list_reduce(list_concat([4294967295::BIGINT], {byte}), "
         f"lambda c, b: xor(c >> 8, ({_CRC_TABLE}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
