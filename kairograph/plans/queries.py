@@ -127,8 +127,8 @@ def j06_unnamed_concepts(d: Data) -> DataFrame:
 
 @_query
 def j10_overlapping_intervals(d: Data) -> DataFrame:
-    """Events prolonged by two days against each other."""
-    i = d.intervals().withColumn("valid_to", F.least("valid_to", F.col("valid_from") + F.expr("interval 2 days")))
+    """Events that last two days each, against each other."""
+    i = d.intervals().withColumn("valid_to", F.col("valid_from") + F.expr("interval 2 days"))
     none = i.where(F.lit(False))
     return _texts(integrity.overlapping(i, none), "valid_from", "other_from").select("source_id", "target_id", "valid_from", "other_from")
 

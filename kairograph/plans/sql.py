@@ -69,7 +69,7 @@ SQL: dict[str, str] = {
     "p14_hydrate_omit": f"WITH {CONCEPTS} SELECT id, title FROM concepts WHERE false",
     "j05_superseded_assertions": f"WITH {ASSERTIONS} SELECT source_id, count(*) AS superseded FROM assertions a WHERE EXISTS (SELECT 1 FROM assertions b WHERE b.source_id = a.source_id AND b.target_id = a.target_id AND b.recorded_at > a.recorded_at) GROUP BY 1",
     "j06_unnamed_concepts": f"WITH {SUPPLY}, {CONCEPTS} SELECT id FROM concepts WHERE NOT EXISTS (SELECT 1 FROM supply WHERE weight > 45 AND (source_id = id OR target_id = id))",
-    "j10_overlapping_intervals": f"WITH {INTERVALS}, i AS (SELECT source_id, target_id, valid_from, least(valid_to, valid_from + INTERVAL 2 DAY) AS valid_to FROM intervals) SELECT a.source_id, a.target_id, {_text('a.valid_from')} AS valid_from, {_text('b.valid_from')} AS other_from FROM i a JOIN i b ON a.source_id = b.source_id AND a.target_id = b.target_id AND a.valid_from <> b.valid_from AND greatest(a.valid_from, b.valid_from) < least(a.valid_to, b.valid_to)",
+    "j10_overlapping_intervals": f"WITH {INTERVALS}, i AS (SELECT source_id, target_id, valid_from, valid_from + INTERVAL 2 DAY AS valid_to FROM intervals) SELECT a.source_id, a.target_id, {_text('a.valid_from')} AS valid_from, {_text('b.valid_from')} AS other_from FROM i a JOIN i b ON a.source_id = b.source_id AND a.target_id = b.target_id AND a.valid_from <> b.valid_from AND greatest(a.valid_from, b.valid_from) < least(a.valid_to, b.valid_to)",
     "j11_as_of_join": f"WITH {INTERVALS}, days AS (SELECT DISTINCT date_trunc('day', ts) AS t FROM events) SELECT {_text('t')} AS ts, count(*) AS edges FROM days JOIN intervals ON valid_from <= t AND t < valid_to GROUP BY 1",
     "a01_corpus_counts": f"WITH {CONCEPTS} SELECT retired, count(*) AS n FROM concepts GROUP BY 1",
     "a02_log_bounds": f"WITH {LOG} SELECT count(*) AS n, min(seq_id) AS first_seq, max(seq_id) AS last_seq, {_text('min(recorded_at)')} AS first_at, {_text('max(recorded_at)')} AS last_at FROM log",
