@@ -35,17 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage and survives the loss of an executor.
+    This cuts the lineage and survives the loss of an executor.  The files stay
+    until :func:`release`, as results are read from them later.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what :func:`stored` wrote; call it when the results have been written elsewhere."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_key() -> Column:
     """64-bit hash of the text, which tells rows apart that share a doc_id."""
     return F.xxhash64(F.col("text"))

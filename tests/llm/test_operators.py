@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kairograph.llm import components, decontam, licenses, linededup, mixing, pieces, pitmanyor, sharding, simhash, topk, toxicity
+from kairograph.llm import common, components, decontam, licenses, linededup, mixing, pieces, pitmanyor, sharding, simhash, topk, toxicity
 from tests.llm.conftest import SCHEMA, odd_rows
 
 DOCS = [(r[0], r[1], r[3]) for r in odd_rows()]
@@ -468,5 +468,14 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.scored(odd, labels.where("false")).count() == len(DOCS)
 
 
+def test_stored_tables_go_on_release(spark):
+    one = common.stored(spark.range(5).toDF("a"), "test")
+    assert one.count() == 5
+    common.release(spark)
+    assert not common._written
+    with pytest.raises(Exception, match="(?i)not_found|not exist|FileNotFound|FILE_NOT_EXIST"):
+        spark.read.schema("a long").parquet(one.inputFiles()[0]).count()
+
+
 def test_schema_of_odd_rows_has_clashing_names():
     assert SCHEMA.count("_key") and SCHEMA.count("_row")
