@@ -6,30 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kairograph.llm import decontam, mixing, sharding, simhash, toxicity
 from kairograph.llm.common import stored, table
+from kairograph.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go."""
+    ship(spark)
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest doc_id."""
+    ship(spark)
     return simhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat benchmark items go."""
+    ship(spark)
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the mix takes, as often as it takes them, in its order."""
+    ship(spark)
     return mixing.mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every row of the mix."""
+    ship(spark)
     return sharding.assign_slots(docs)
 
 
