@@ -23,6 +23,8 @@ from kairograph.llm.common import shared_dir, stored
 
 SCALE = 256
 TILE = 512
+#: Pairs that are scored exactly at once.
+PAIRS = 1 << 14
 
 #: Room for rounding of the rotated products; survivors are scored exactly.
 SLACK = 1e-9
@@ -93,7 +95,9 @@ def best(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, x: np.nd
         q, c = q[other], c[other]
         if not len(q):
             continue
-        score = np.einsum("ij,ij->i", queries[live[q]], x[at + c])
+        score = np.concatenate(
+            [np.einsum("ij,ij->i", queries[live[q[i : i + PAIRS]]], x[at + c[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)]
+        )
         rank = np.lexsort((ids[at + c], -score, q))
         q, c, score = q[rank], c[rank], score[rank]
         start = np.append(True, q[1:] != q[:-1])
