@@ -1,12 +1,17 @@
 """Licence scans by sentence rules, with SQL functions alone.
 
-A text is cut into sentences, each is normalised and looked up among known
-licence sentences.  The sequence of identifiers is then matched against licence
-rules in their order; what a rule has matched is used up for the later ones.
+A text is cut into pieces at ends of sentences and lines, and each is
+normalised.  Known licence sentences are looked up among runs of whole pieces,
+so that a notice is found however its lines are wrapped, and also where a
+sentence has ':', ';' or 'v. 2.0' in it.  The sequence of identifiers is then
+matched against licence rules in their order; what a rule has matched is used
+up for the later ones.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,31 +90,54 @@ NOISE = r"[^a-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, empty ones among them."""
+#: Stands in a piece where a wrapped line was joined.
+JOIN = "\x01"
+#: A piece that only numbers the next one, which is a known sentence.
+LIST_NUMBER = r"(?:[0-9]{1,3}[ |]+)??"
+
+
+def pieces(text: Column) -> Column:
+    """Normalised pieces of a text, empty ones among them."""
     lines = F.regexp_replace(text, COMMENT, "\n")
-    joined = F.regexp_replace(lines, WRAPPED, "$1 $2")
+    joined = F.regexp_replace(lines, WRAPPED, f"$1{JOIN}$2")
+    noise = NOISE.replace("0-9", f"0-9{JOIN}")
     return F.transform(
         F.split(joined, SENTENCE_END),
-        lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), NOISE, " ")),
+        lambda s: F.btrim(F.regexp_replace(F.translate(s, UPPER, LOWER), noise, " "), F.lit(f" {JOIN}")),
     )
 
 
+def _runs(known) -> str:
+    """A pattern for known sentences that fill pieces joined by ``|``, longest first. An SPDX tag ends with its line, as its standard says."""
+    each = []
+    for sentence in sorted({sentence for _, sentence in known}, key=lambda s: (-len(s), s)):
+        line = f" ?{JOIN}|" if sentence.startswith("spdx ") else ""
+        each.append(f"[ |{JOIN}]+".join(map(re.escape, sentence.split())) + rf"(?={line}\|)")
+    return rf"\|{LIST_NUMBER}({'|'.join(each)})"
+
+
 def scan(docs: DataFrame, known=SENTENCES, rules=RULES) -> DataFrame:
     """``doc_id, n_sentences, n_known, sentence_ids, licenses, unmatched`` of every row, without a shuffle.
 
     ``sentence_ids`` has the identifiers in the order of the text, ``licenses``
     the licences in the order of the rules that matched, each once;
     ``unmatched`` is true where known sentences are left that no rule used.
-    Sentences that aren't known break a sequence.  Null and empty texts have no
-    sentences.
+    Sentences that aren't known break a sequence.  The pieces of a known
+    sentence count as one sentence with the number that it has in a list; every
+    other piece counts as a sentence.  Null and empty texts have none.
     """
     ids = F.create_map(*[F.lit(x) for ident, sentence in known for x in (sentence, ident)])
-    found = F.transform(F.filter(F.col("_all"), lambda s: s != ""), lambda s: F.coalesce(F.element_at(ids, s), F.lit("-")))
+    whole = F.concat(F.lit("|"), F.array_join(F.filter(pieces(F.col("text")), lambda s: s != ""), "|"), F.lit("|"))
+    marked = F.regexp_replace(whole, _runs(known), "|<$1>")
+    name = lambda s: F.trim(F.regexp_replace(s, NOISE, " "))
+    found = F.transform(
+        F.regexp_extract_all(marked, F.lit("<[^>]*>|[^|<>]+"), F.lit(0)),
+        lambda s: F.when(s.startswith("<"), F.coalesce(F.element_at(ids, name(s)), F.lit("-"))).otherwise(F.lit("-")),
+    )
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.col("text").isNotNull(), sentences(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("_all"),
-    ).select("doc_id", found.alias("_found"))
+        F.when(F.col("text").isNotNull(), found).otherwise(F.array().cast("array<string>")).alias("_found"),
+    )
     # ",A,,B,,-,": a sequence of rules' identifiers is a substring
     rest = F.concat(F.lit(","), F.array_join("_found", ",,"), F.lit(","))
     rows = rows.select(

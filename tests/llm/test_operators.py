@@ -309,6 +309,105 @@ def test_rules_take_the_longest_sequence_first(spark):
     assert got == {0: ("long,short", False), 1: ("short", True), 2: ("c", True), 3: ("", True)}
 
 
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE
+""",
+    "GPL-3.0-or-later": """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */""",
+    "GPL-2.0-or-later": """# This program is free software; you can redistribute it and/or modify it
+# under the terms of the GNU General Public License as published by the Free
+# Software Foundation; either version 2 of the License, or (at your option)
+# any later version.""",
+    "MPL-2.0": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this""",
+    "Apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License.""",
+}
+
+
+def test_published_notices_are_found_as_they_are_wrapped(spark):
+    texts = [*NOTICES.values(), "// SPDX-License-Identifier: MIT\npackage main\n", "# SPDX-License-Identifier: Apache-2.0\n", "/* SPDX-License-Identifier: GPL-3.0-or-later */\nint x;", "SPDX-License-Identifier: MIT OR X"]
+    texts.append(re.sub(r"3\. Neither.*?permission\.\n", "", NOTICES["BSD-3-Clause"], flags=re.S))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].licenses for i in range(len(texts))] == [*NOTICES, "MIT", "Apache-2.0", "GPL-3.0-or-later", "", "BSD-2-Clause"]
+    assert got[0].sentence_ids == "MITTitle,MITGrant,MITNotice,AsIs,MITLiable"
+    assert got[1].sentence_ids == "BSDRedistribute,BSDSource,BSDBinary,BSDEndorse,BSDAsIs"
+    assert got[2].sentence_ids == "GPLFree,GPLHope,GPLSee"
+    assert got[5].sentence_ids == "ApacheHead,ApacheUse,ApacheCopy,ApacheWarranty,ApacheSee" and not got[5].unmatched
+    assert got[6].sentence_ids == "SPDXMIT" and not got[6].unmatched
+
+
+def test_every_sentence_and_rule_fires_in_any_wrapping(spark):
+    own = {ident: sentence for ident, sentence in licenses.SENTENCES}
+    cases = [(ident, s) for ident, s in licenses.SENTENCES] + [(licence, ".\n\n".join(own[x] for x in ids)) for licence, ids in licenses.RULES]
+    rng = random.Random(12)
+    texts = []
+    for _, s in cases:
+        shout = lambda w: w.upper() if rng.random() < 0.5 else w
+        texts.append("Body.\n\n" + "\n\n".join("".join(shout(w) + rng.choice([" ", " ", "\n", ": ", "; "]) for w in part.split()) for part in s.split("\n\n")) + "\n")
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = len(licenses.SENTENCES)
+    assert [got[i].sentence_ids for i in range(n)] == [ident for ident, _ in cases[:n]]
+    assert [got[i].licenses for i in range(n, len(cases))] == [licence for licence, _ in cases[n:]]
+
+
 # token counts
 
 
