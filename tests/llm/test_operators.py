@@ -549,6 +549,23 @@ def test_toxic_text_is_found_in_held_out_rows(spark):
     assert all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
 
 
+def test_all_labelled_rows_count_whatever_the_classifier_is_fitted_on(spark, monkeypatch):
+    docs, labels = toxic_rows(900)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    rare = [i for i in range(10_000, 10_060) if fold(i) != 2][:24]
+    more = [(i, docs[i - 10_000][1].replace("schimpf", "w") + " raregift", 1) for i in rare]
+    frame = spark.createDataFrame([d[:2] for d in docs + more], "doc_id long, text string")
+    labels += [(i, 1) for i in rare if fold(i) == 0]
+    known, terms = [], []
+    model, learn = toxicity.label_model, toxicity.learned_terms
+    monkeypatch.setattr(toxicity, "label_model", lambda votes: known.append(votes.where("toxic is not null").count()) or model(votes))
+    monkeypatch.setattr(toxicity, "learned_terms", lambda *a: terms.append(learn(*a)) or terms[-1])
+    got = toxicity.scored(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), fit_rows=30).collect()
+    assert len(got) == len(docs) + len(more)
+    assert known == [sum(fold(i) == 2 for i, _ in labels)]
+    assert {"raregift", "^raregif"} <= set(terms[0])
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels = toxic_rows(400)
     frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
