@@ -17,7 +17,7 @@ from kairograph.errors import (
     RecordedAtRegression,
     SingleOpenViolation,
 )
-from kairograph.functions.columns import edge_type_ok, formatted, id_ok, is_open, overlaps, weight_ok
+from kairograph.functions.columns import edge_type_ok, formatted, id_ok, instant, is_open, overlaps, weight_ok
 from kairograph.operators.temporal import latest_belief
 from kairograph.types import BELIEF_KEY
 
@@ -46,10 +46,28 @@ def overlapping(new: DataFrame, current: DataFrame) -> DataFrame:
     replaced = a.select(*key, F.col("valid_from").alias("other_from"))
     kept = rows.join(replaced, [*key, "other_from"], "left_anti")
     own = a.select(*key, F.col("valid_from").alias("other_from"), F.col("valid_to").alias("other_to"))
-    pair = a.join(kept.unionByName(own), key)
-    apart = F.col("valid_from") != F.col("other_from")
+    others = kept.unionByName(own)
     both_open = is_open("valid_to") & is_open("other_to")
-    return pair.where(apart & ~both_open & overlaps(F.col("valid_from"), F.col("valid_to"), F.col("other_from"), F.col("other_to")))
+    wanted = ~both_open & overlaps(F.col("valid_from"), F.col("valid_to"), F.col("other_from"), F.col("other_to"))
+    # of two that overlap, the later one begins within the earlier one
+    after = _begins_within(a, others, "valid", "other", key)
+    before = _begins_within(others, a, "other", "valid", key)
+    return after.unionByName(before).where(wanted).select(*key, "valid_from", "valid_to", "other_from", "other_to")
+
+
+def _begins_within(earlier: DataFrame, later: DataFrame, x: str, y: str, key: list[str]) -> DataFrame:
+    """Pairs in which ``later`` begins after ``earlier`` and near it: an equality join on buckets of time.
+
+    Buckets are as wide as the interval, rounded up to a power of two of
+    microseconds, so it touches two; a beginning goes to a bucket of each of
+    the widths there are, at most 60.
+    """
+    start, end = F.unix_micros(f"{x}_from"), F.unix_micros(F.coalesce(F.col(f"{x}_to"), instant(None)))
+    placed = earlier.withColumns({"_a": start, "_b": end}).where("_b > _a").withColumn("_level", F.ceil(F.log2(F.col("_b") - F.col("_a"))).cast("int"))
+    levels = placed.select("_level").distinct()
+    placed = placed.withColumn("_k", F.explode(F.expr("sequence(shiftright(_a, _level), shiftright(_b - 1, _level))"))).drop("_a", "_b")
+    spots = later.crossJoin(F.broadcast(levels)).withColumn("_k", F.expr(f"shiftright(unix_micros({y}_from), _level)"))
+    return placed.join(spots, [*key, "_level", "_k"]).where(F.col(f"{x}_from") < F.col(f"{y}_from")).drop("_level", "_k")
 
 
 def second_open(new: DataFrame, current: DataFrame) -> DataFrame:
