@@ -36,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -51,8 +52,21 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
+    """Like :func:`stored`, bucketed by ``key``: a cogroup on it reads the table where it lies, without a shuffle."""
+    spark = df.sparkSession
+    name = f"{what}_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", at).format("parquet").saveAsTable(name)
+    _tables.append(name)
+    _written.append(at)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete what :func:`stored` wrote; call it when the results have been written elsewhere."""
+    """Delete what :func:`stored` and :func:`bucketed` wrote; call it when the results have been written elsewhere."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())

@@ -1,21 +1,27 @@
-"""A hierarchical Pitman-Yor language model, trained and applied in two shuffles.
-
-Model.  Words follow a context: the class of the word before (one of
-:data:`CLASSES`, from its hash).  Each class has a restaurant; all of them share
-the unigram restaurant as parent, whose base is uniform over the training words
-and one unknown word.  Tables of a class's restaurant are the parent's
-customers.  The seating is sampled by Gibbs steps that take a random customer
-away and seat it again, and the counts that predictions need are averaged over
-the later steps.
-
-Distribution.  Given a restaurant's totals, the seatings of different words
-don't depend on each other.  So the corpus is dealt by word: the tasks count
-(word, class) pairs for each *bucket* of words, seat them, and sample with the
-totals of the first seating; the totals of the averaged seating then close the
-predictive distribution.  Scoring deals the occurrences by the same buckets,
-packed as arrays, and sums the parts of each batch of documents.  Words that make up more than
-1/:data:`FREQUENT` of the corpus (there can't be more than that many) are
-scored where the document is read, so that no bucket is hot.
+"""A hierarchical Pitman-Yor language model whose restaurants are the words before.
+
+Model.  Every word has a restaurant of the words that follow it; the first word
+of a text follows the end of the one before.  All restaurants share the unigram
+restaurant as parent, whose base is uniform over the training words and one
+unknown word.  The tables of the restaurants are the parent's customers.
+Seatings are sampled by Gibbs sweeps over all customers
+(:mod:`kairograph.llm.seating`), and the predictive probabilities are those of
+the averaged seatings.
+
+Distribution.  Pairs of words are counted batch by batch and dealt to *buckets*
+by the word; pairs of a frequent word are spread over all buckets by the word
+before, so no bucket is hot.  Given the totals of its restaurants and the
+parent's probabilities, a bucket's pairs are seated without looking at others.
+These totals are kept by name at a word's *home* (a bucket number too).  A
+*phase* tells the buckets what they need of them, seats and sweeps all pairs,
+and brings the tables by restaurant and by dish home, where the parent's
+customers are swept; the next phase starts from the new totals.  After the last
+one every occurrence is scored in its bucket, and sums by text go back to the
+batch it came from.
+
+Buckets and homes are stored once, bucketed by their number, so that each phase
+moves only arrays of totals.  Arrays travel as binary columns, their bytes by
+place, which compresses well.
 """
 
 from __future__ import annotations
@@ -23,52 +29,76 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import ASCII_LOWER, stored
+from kairograph.llm.common import ASCII_LOWER, bucketed, stored
+from kairograph.llm.seating import mean_tables
 
-CLASSES = 256
 DISCOUNT, STRENGTH = 0.8, 4.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
-STEPS, BURN_IN = 16, 6
-FREQUENT = 1000
-#: Bytes of text that a bucket of words gets on average.
-BUCKET_BYTES = 24_000_000
-#: Bytes of text that a task takes at once.
-BATCH_BYTES = 16_000_000
-#: (word, class) pairs that are sampled at once.
-SAMPLE_PAIRS = 100_000
+#: Rounds in which totals are renewed; sweeps over all customers in each, and how many of these are averaged.
+PHASES, SWEEPS, KEPT = 3, 4, 2
+#: Bytes of text that a bucket gets on average, and that a task takes at once.
+BUCKET_BYTES, BATCH_BYTES = 24_000_000, 24_000_000
+#: A word that fills more than this part of a bucket is spread over all buckets ...
+SPREAD = 0.125
+#: ... as told by one document of so many, which moves rows and no results.
+SAMPLED = 400
 #: Ends every text; no word holds a line feed.
 END = b"\n"
 SEED = 42
 
-MODEL = "bucket int, words binary, counts binary, parents binary, pairs binary, classes binary, seats binary"
-
 
 def held_out() -> Column:
     """crc32(doc_id as text) mod 7 is 2. A null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
 
 
+def _pack(x: np.ndarray, kind: str) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, and so on."""
+    x = np.ascontiguousarray(x, kind)
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _open(raw: bytes | None, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw or b"", np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+
+
+def _join(parts, kind: str) -> np.ndarray:
+    arrays = [_open(p, kind) for p in parts]
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct tokens; of each token its number among them, the class before it, its text."""
-    number: dict[bytes, int] = {b"": 0}
+    """Hashes of the distinct words, the end first; of each token its number, the number of the word before, and its text's."""
+    number = _Numbers({END: 0})
+    of = number.__getitem__
     ids, sizes = [], []
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if isinstance(text, str) else []
         words.append(END)
-        ids.extend([number.setdefault(w, len(number)) for w in words])
+        ids.append(np.fromiter(map(of, words), np.int32, len(words)))
         sizes.append(len(words))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w, SEED) for w in number), np.uint64, len(number))
-    token, size = np.array(ids, np.int32), np.array(sizes, np.int64)
-    before = np.empty_like(token)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in number), np.uint64, len(number))
+    token = np.concatenate(ids)
+    before = np.zeros_like(token)  # a text begins after an end, which has number 0
     before[1:] = token[:-1]
-    before[np.cumsum(size) - size] = 0  # a text begins after the empty word
-    kind = (hashes >> np.uint64(56)).astype(np.uint8)[before]
-    return hashes, token, kind, np.repeat(np.arange(len(size), dtype=np.int32), size)
+    return hashes, token, before, np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+
+
+def _names(hashes: np.ndarray) -> np.ndarray:
+    """What a restaurant is called: the lower half of its word's hash. Of n words about n / 4.3e9 share a name with another."""
+    return hashes.astype(np.uint32)
 
 
 def _portions(batches):
@@ -80,399 +110,408 @@ def _portions(batches):
             yield own
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+def _rows(docs: DataFrame) -> DataFrame:
+    """What is read of ``docs``, in an order that only depends on the rows of a partition, so a repeated task deals the same batches."""
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("null"),
+        F.xxhash64("text").alias("key"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"),
+    )
+    return rows.sortWithinPartitions("id", "null", "key")
+
+
+def _sampled_words(batches):
+    for pdf in batches:
+        hashes, token, _, _ = _tokens(pdf["text"])
+        n = np.bincount(token, minlength=len(hashes))
+        yield pd.DataFrame({"word": hashes.view(np.int64), "n": n})
+
+
+def frequent(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Hashes of the words that are spread, in order; at most buckets / :data:`SPREAD` of them."""
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLED)) == 0)
+    words = some.select("text").mapInPandas(_sampled_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    share = words.crossJoin(F.broadcast(words.agg(F.sum("n").alias("all")))).where(F.col("n") * buckets > F.col("all") * SPREAD)  # one row
+    return np.sort(np.array([r["word"] for r in share.select("word").collect()], np.int64).view(np.uint64))
 
 
-def _slices(bucket: np.ndarray):
-    """(bucket, from, to) of the runs of a sorted array."""
-    edge = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip(np.append(0, edge), np.append(edge, len(bucket)), strict=True):
-        if b > a:
-            yield int(bucket[a]), a, b
+#: A batch's own row: doc_id, whether it is null, text hash and number of tokens of each text.
+_HEAD = {"ids": "i8", "nulls": "u1", "keys": "i8", "tokens": "i4"}
+#: What a batch says to a bucket: words, pairs of each, restaurant, training and all occurrences of each pair, text of each occurrence.
+_DEAL = {"words": "u8", "pairs": "u4", "names": "u4", "train": "u4", "times": "u4", "docs": "u4"}
+_DEALT = "bucket int, batch bigint, " + ", ".join(f"{c} binary" for c in (*_HEAD, *_DEAL))
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal numbers begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
-def _count(buckets: int):
-    """Counts of (word, class) pairs in a batch, a row for each bucket."""
+def _deal(buckets: int, spread: np.ndarray):
+    """Pairs of a batch and the texts they stand in, a row for each bucket, and the batch's own row."""
 
     def run(batches):
         for pdf in _portions(batches):
-            pdf = pdf[~pdf["held_out"]]
-            if not len(pdf):
-                continue
-            hashes, token, kind, _ = _tokens(pdf["text"])
-            pair, n = np.unique(token.astype(np.int64) * CLASSES + kind, return_counts=True)
-            word, kind = hashes[pair // CLASSES], (pair % CLASSES).astype(np.uint8)
-            order = np.lexsort((kind, word, _bucket(word, buckets)))
-            word, kind, n = word[order], kind[order], n[order].astype(np.uint32)
-            rows = []
-            for b, i, j in _slices(_bucket(word, buckets)):
-                own, at = np.unique(word[i:j], return_index=True)
-                pairs = np.diff(np.append(at, j - i)).astype(np.uint16)
-                rows.append((b, own.tobytes(), pairs.tobytes(), kind[i:j].tobytes(), n[i:j].tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "words", "pairs", "classes", "counts"])
+            hashes, token, before, doc = _tokens(pdf["text"])
+            head = {"ids": pdf["id"], "nulls": pdf["null"], "keys": pdf["key"], "tokens": np.bincount(doc, minlength=len(pdf))}
+            own = {c: _pack(head[c].to_numpy() if c != "tokens" else head[c], k) for c, k in _HEAD.items()}
+            batch = xxhash.xxh64_intdigest(own["ids"] + own["keys"] + own["nulls"]) >> 1
+            words, word_at = np.unique(hashes, return_inverse=True)
+            names, name_at = np.unique(_names(hashes), return_inverse=True)
+            home = _names(words).astype(np.int64)
+            wide = np.isin(words, spread)
+            word, name = word_at[token].astype(np.int64), name_at[before].astype(np.int64)
+            bucket = (home[word] + np.where(wide[word], names[name].astype(np.int64), 0)) % buckets
+            pair = (bucket * len(words) + word) * len(names) + name
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            at = _runs(pair)
+            kept = (~pdf["held_out"].to_numpy(bool))[doc].astype(np.int64)[order]
+            train, times, pair, doc = np.add.reduceat(kept, at), np.diff(np.append(at, len(order))), pair[at], doc[order]
+            name, word = pair % len(names), pair // len(names)
+            bucket, word = word // len(words), word % len(words)
+            rows, edge = [{"bucket": batch % buckets, "batch": batch, **own}], np.append(_runs(bucket), len(bucket))
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                first = _runs(word[i:j])
+                said = {
+                    "words": words[word[i:j][first]], "pairs": np.diff(np.append(first, j - i)), "names": names[name[i:j]],
+                    "train": train[i:j], "times": times[i:j], "docs": doc[at[i] : at[j] if j < len(at) else len(doc)],
+                }
+                rows.append({"bucket": int(bucket[i]), "batch": batch, **{c: _pack(x, _DEAL[c]) for c, x in said.items()}})
+            out = pd.DataFrame(rows, columns=["bucket", "batch", *_HEAD, *_DEAL])
+            yield out.astype(object).where(out.notna(), None)
 
     return run
 
 
-def _first_seats(count: np.ndarray) -> np.ndarray:
-    """Tables for the first seating: one for one customer, else about count^discount."""
-    return np.clip(np.rint(count.astype(float) ** DISCOUNT * 0.7), 1, count).astype(np.int64)
-
-
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the counts of all batches together, and its restaurants' first totals."""
-    words = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["words"]])
-    pairs = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["pairs"]])
-    kind = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["classes"]])
-    n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)
-    own, number = np.unique(words, return_inverse=True)
-    key = np.repeat(number, pairs) * CLASSES + kind
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    n, key = np.add.reduceat(n, start), key[start]
-    word, kind = key // CLASSES, key % CLASSES
-    seats = _first_seats(n)
-    row = {
-        "bucket": int(pdf["bucket"].iloc[0]),
-        "words": own.tobytes(),
-        "pairs": np.bincount(word, minlength=len(own)).astype(np.uint16).tobytes(),
-        "classes": kind.astype(np.uint8).tobytes(),
-        "counts": n.astype(np.uint32).tobytes(),
-        "customers": np.bincount(kind, n, CLASSES).astype(np.int64).tolist(),
-        "tables": np.bincount(kind, seats, CLASSES).astype(np.int64).tolist(),
-        "parent_tables": int(_first_seats(np.bincount(word, seats, len(own)).astype(np.int64)).sum()),
-        "vocabulary": len(own),
-    }
-    return pd.DataFrame([row])
+#: A bucket: its words and the pairs of each; of each pair the restaurant's place among ``names`` and the training count;
+#: batch by batch how many pairs and occurrences, the steps between the pairs' numbers, times and texts; heads of batches, with sizes.
+_BUCKET = {"words": "u8", "pairs": "u4", "places": "u4", "counts": "i8", "names": "u4"}
+_USES = {"batches": "i8", "n_pairs": "i8", "n_docs": "i8", "steps": "u4", "times": "u4", "docs": "u4"}
+_HEADS = {"heads": "i8", "sizes": "i8", **_HEAD}
+_BUCKETS = "bucket int, " + ", ".join(f"{c} binary" for c in (*_BUCKET, *_USES, *_HEADS))
+
+
+def _gather_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: the counts of all batches together, and what each batch has of its pairs."""
+    pdf = pdf.sort_values("batch", kind="stable")
+    head, said = pdf[pdf["ids"].notna()], pdf[pdf["words"].notna()]
+    parts = {c: [_open(x, k) for x in said[c]] for c, k in _DEAL.items()}
+    flat = {c: np.concatenate(x) if x else np.zeros(0, _DEAL[c]) for c, x in parts.items()}
+    words, word = np.unique(flat["words"], return_inverse=True)
+    names, place = np.unique(flat["names"], return_inverse=True)
+    key, at = np.unique(np.repeat(word, flat["pairs"]) * max(len(names), 1) + place, return_inverse=True)
+    n_pairs = np.array([len(x) for x in parts["names"]], np.int64)
+    begins = np.append(0, np.cumsum(n_pairs))[:-1]
+    steps = np.diff(at, prepend=0)
+    steps[begins] = at[begins]
+    got = {
+        "words": words, "pairs": np.bincount(key // max(len(names), 1), minlength=len(words)), "places": key % max(len(names), 1),
+        "counts": np.rint(np.bincount(at, flat["train"], len(key))), "names": names,
+        "batches": said["batch"].to_numpy(np.int64), "n_pairs": n_pairs, "n_docs": np.array([len(x) for x in parts["docs"]], np.int64),
+        "steps": steps, "times": flat["times"], "docs": flat["docs"],
+        "heads": head["batch"].to_numpy(np.int64), "sizes": np.array([len(x) for x in head["nulls"]], np.int64), **{c: _join(head[c], k) for c, k in _HEAD.items()},
+    }
+    kinds = _BUCKET | _USES | _HEADS
+    return pd.DataFrame([{"bucket": int(pdf["bucket"].iloc[0]), **{c: _pack(x, kinds[c]) for c, x in got.items()}}])
 
 
-class _Seating:
-    """Sizes of the tables of many (restaurant, word) groups, in one flat array with free slots."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, slots: np.ndarray, discount: float):
-        self.start = np.cumsum(slots) - slots
-        self.tables, self.customers, self.slots, self.discount = tables.copy(), customers.copy(), slots, discount
-        self.sizes = np.zeros(int(slots.sum()), np.int64)
-        owner = np.repeat(np.arange(len(slots)), slots)
-        place = np.arange(len(self.sizes)) - self.start[owner]
-        own = place < tables[owner]
-        share, more = customers // np.maximum(tables, 1), customers % np.maximum(tables, 1)
-        self.sizes[own] = (share[owner] + (place < more[owner]))[own]
-
-    def _pick(self, groups: np.ndarray, weight: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """A slot of each group, in proportion to the weights."""
-        total = np.append(0.0, np.cumsum(weight))
-        low, high = total[self.start[groups]], total[self.start[groups] + self.slots[groups]]
-        at = np.searchsorted(total, low + u * (high - low), side="right") - 1
-        return np.clip(at, self.start[groups], self.start[groups] + self.slots[groups] - 1)
-
-    def remove(self, groups: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Take a random customer of each group away; true where its table is gone."""
-        at = self._pick(groups, self.sizes.astype(float), u)
-        self.sizes[at] -= 1
-        self.customers[groups] -= 1
-        gone = self.sizes[at] == 0
-        self.tables[groups[gone]] -= 1
-        return gone
-
-    def add(self, groups: np.ndarray, new_weight: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Seat a customer in each group; true where it opens a table. A group without free slots joins a table."""
-        seated = self.customers[groups] - self.discount * self.tables[groups]
-        new = u * (seated + new_weight) < new_weight
-        new &= self.tables[groups] < self.slots[groups]
-        new |= self.tables[groups] == 0
-        if new.any():
-            at = self._pick(groups[new], (self.sizes == 0).astype(float), v[new])
-            self.sizes[at] = 1
-            self.tables[groups[new]] += 1
-        if not new.all():
-            at = self._pick(groups[~new], np.where(self.sizes > 0, self.sizes - self.discount, 0.0), v[~new])
-            self.sizes[at] += 1
-        self.customers[groups] += 1
-        return new
-
-
-def sample(word: np.ndarray, kind: np.ndarray, count: np.ndarray, words: int, totals: dict, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Averages over Gibbs steps for one bucket: of each pair count - discount x tables, of each word the same in the parent.
-
-    Each step moves one customer of one pair of every word, and one customer of
-    every word in the parent, so no two moves of a step meet.
-    """
-    first = _first_seats(count)
-    lower = _Seating(count, first, np.minimum(count, 2 * first + 8), DISCOUNT)
-    customers = np.bincount(word, first, words).astype(np.int64)
-    tables = _first_seats(customers)
-    begin = np.searchsorted(word, np.arange(words))
-    pairs = np.bincount(word, minlength=words)
-    upper = _Seating(customers, tables, np.bincount(word, lower.slots, words).astype(np.int64), PARENT_DISCOUNT)
-    class_new = STRENGTH + DISCOUNT * totals["tables"]
-    parent_all = totals["tables"].sum()
-    parent_new = (PARENT_STRENGTH + PARENT_DISCOUNT * totals["parent_tables"]) / (totals["vocabulary"] + 1)
-    seat_sum, parent_sum, kept = np.zeros(len(count)), np.zeros(words), 0
-    movable = np.flatnonzero(np.bincount(word, count > 1, words) > 0)
-    for step in range(STEPS):
-        if len(movable):
-            pair = begin[movable] + (rng.random(len(movable)) * pairs[movable]).astype(np.int64)
-            take = count[pair] > 1
-            own, pair = movable[take], pair[take]
-            gone = lower.remove(pair, rng.random(len(pair)))
-            upper.remove(own[gone], rng.random(int(gone.sum())))
-            parent = (upper.customers[own] - PARENT_DISCOUNT * upper.tables[own] + parent_new) / (parent_all + PARENT_STRENGTH)
-            new = lower.add(pair, class_new[kind[pair]] * parent, rng.random(len(pair)), rng.random(len(pair)))
-            upper.add(own[new], np.full(int(new.sum()), parent_new), rng.random(int(new.sum())), rng.random(int(new.sum())))
-        several = np.flatnonzero(upper.customers > 1)
-        upper.remove(several, rng.random(len(several)))
-        upper.add(several, np.full(len(several), parent_new), rng.random(len(several)), rng.random(len(several)))
-        if step >= BURN_IN:
-            seat_sum += lower.tables
-            parent_sum += upper.customers - PARENT_DISCOUNT * upper.tables
-            kept += 1
-    return count - DISCOUNT * seat_sum / kept, parent_sum / kept
-
-
-def _word_blocks(pairs: np.ndarray):
-    """(first word, last word + 1, first pair, last pair + 1) of runs of about :data:`SAMPLE_PAIRS` pairs; a word's pairs stay together."""
-    ends = np.cumsum(pairs, dtype=np.int64)
-    word = pair = 0
-    while word < len(pairs):
-        stop = max(word + 1, int(np.searchsorted(ends, pair + SAMPLE_PAIRS, side="right")))
-        yield word, stop, pair, int(ends[stop - 1])
-        word, pair = stop, int(ends[stop - 1])
-
-
-def _gibbs(totals: dict, seed: int):
-    """Sample bucket by bucket, a block of words at a time: given the totals, words don't depend on each other."""
+class _Pairs:
+    """A bucket's pairs, and the parts that are sampled: those of two customers or more."""
+
+    def __init__(self, row):
+        self.words, self.names = _open(row.words, "u8"), _open(row.names, "u4")
+        self.place, self.count = _open(row.places, "u4").astype(np.int64), _open(row.counts, "i8")
+        self.word = np.repeat(np.arange(len(self.words)), _open(row.pairs, "u4"))
+        self.several = np.flatnonzero(self.count > 1)
+        self.busy_names = np.bincount(self.place[self.several], minlength=len(self.names)) > 0
+        self.busy_words = np.bincount(self.word[self.several], minlength=len(self.words)) > 0
 
+    def by_name(self, x: np.ndarray, pairs=slice(None)) -> np.ndarray:
+        return np.bincount(self.place[pairs], x, len(self.names))
+
+    def by_word(self, x: np.ndarray, pairs=slice(None)) -> np.ndarray:
+        return np.bincount(self.word[pairs], x, len(self.words))
+
+    def homes(self, buckets: int):
+        """(home, numbers of the names and of the words that belong there)."""
+        name, word = self.names.astype(np.int64) % buckets, _names(self.words).astype(np.int64) % buckets
+        by_name, by_word = np.argsort(name, kind="stable"), np.argsort(word, kind="stable")
+        edge = np.arange(buckets + 1)
+        a, b = np.searchsorted(name[by_name], edge), np.searchsorted(word[by_word], edge)
+        for home in range(buckets):
+            n, w = by_name[a[home] : a[home + 1]], by_word[b[home] : b[home + 1]]
+            if len(n) or len(w):
+                yield home, n, w
+
+
+#: What a bucket says to a home at first: its names, whether they are sampled, customers, tables (one a pair) and those of single pairs; the same of words.
+_FIRST = {"names": "u4", "busy": "u1", "customers": "i8", "tables": "i8", "single": "i8", "words": "u8", "word_busy": "u1", "counts": "i8", "dishes": "i8", "word_single": "i8"}
+
+
+def _say_first(buckets: int):
     def run(batches):
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                pairs = np.frombuffer(r.pairs, np.uint16)
-                kind, count = np.frombuffer(r.classes, np.uint8), np.frombuffer(r.counts, np.uint32)
-                raw, parents, seats = np.zeros(len(pairs), np.uint64), np.zeros(len(pairs), np.float32), np.zeros(len(kind), np.float32)
-                seated, rng = np.zeros(CLASSES), np.random.default_rng([seed, r.bucket])
-                for a, b, i, j in _word_blocks(pairs):
-                    word = np.repeat(np.arange(b - a), pairs[a:b])
-                    own, n = kind[i:j].astype(np.int64), count[i:j].astype(np.int64)
-                    kept, parents[a:b] = sample(word, own, n, b - a, totals, rng)
-                    seats[i:j] = kept
-                    raw[a:b] = np.bincount(word, n, b - a)
-                    seated += np.bincount(own, (n - kept) / DISCOUNT, CLASSES)
-                row = (r.bucket, r.words, raw.tobytes(), parents.tobytes(), r.pairs, r.classes, seats.tobytes(), seated.tolist(), float(parents.sum(dtype=np.float64)))
-                yield pd.DataFrame([row], columns=["bucket", "words", "counts", "parents", "pairs", "classes", "seats", "tables", "parent_sum"])
+            for row in pdf.itertuples(index=False):
+                p = _Pairs(row)
+                there, single = (p.count > 0).astype(float), (p.count == 1).astype(float)
+                by_name = {"names": p.names, "busy": p.busy_names, "customers": p.by_name(p.count), "tables": p.by_name(there), "single": p.by_name(single)}
+                by_word = {"words": p.words, "word_busy": p.busy_words, "counts": p.by_word(p.count), "dishes": p.by_word(there), "word_single": p.by_word(single)}
+                for home, n, w in p.homes(buckets):
+                    said = {c: _pack(x[n], _FIRST[c]) for c, x in by_name.items()} | {c: _pack(x[w], _FIRST[c]) for c, x in by_word.items()}
+                    yield pd.DataFrame([{"home": home, "bucket": row.bucket, **said}])
 
     return run
 
 
-class Model:
-    """The bounded part of a model: totals by class; and the table with a row for each bucket."""
+#: A home: the buckets that speak to it, how many names and words each, the steps between their places here, whether they are sampled; its totals.
+_HOME = {
+    "buckets": "i4", "n_names": "i8", "name_steps": "i4", "busy": "u1", "n_words": "i8", "word_steps": "i4", "word_busy": "u1",
+    "customers": "i8", "tables": "i8", "single": "i8", "counts": "i8", "dishes": "i8", "word_single": "i8",
+}
+_HOMES = "home int, " + ", ".join(f"{c} binary" for c in _HOME) + ", tokens bigint, vocabulary bigint"
+
+
+def _gather_home(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("bucket", kind="stable")
+    flat = {c: _join(pdf[c], k) for c, k in _FIRST.items()}
+    names, name_at = np.unique(flat["names"], return_inverse=True)
+    words, word_at = np.unique(flat["words"], return_inverse=True)
+    name_sum = lambda c: np.rint(np.bincount(name_at, flat[c], len(names)))
+    word_sum = lambda c: np.rint(np.bincount(word_at, flat[c], len(words)))
+    counts = word_sum("counts")
+    got = {
+        "buckets": pdf["bucket"], "n_names": np.array([len(x) for x in pdf["busy"]]), "name_steps": np.diff(name_at, prepend=0), "busy": flat["busy"],
+        "n_words": np.array([len(x) for x in pdf["word_busy"]]), "word_steps": np.diff(word_at, prepend=0), "word_busy": flat["word_busy"],
+        "customers": name_sum("customers"), "tables": name_sum("tables"), "single": name_sum("single"),
+        "counts": counts, "dishes": word_sum("dishes"), "word_single": word_sum("word_single"),
+    }
+    row = {"home": int(pdf["home"].iloc[0]), **{c: _pack(x, _HOME[c]) for c, x in got.items()}, "tokens": int(counts.sum()), "vocabulary": int((counts > 0).sum())}
+    return pd.DataFrame([row])
 
-    def __init__(self, table: DataFrame, customers: np.ndarray, tables: np.ndarray, parent_sum: float, vocabulary: int, buckets: int):
-        self.table, self.vocabulary, self.buckets = table, vocabulary, buckets
-        self.tokens = int(customers.sum())
-        self.norm = 1 / (STRENGTH + customers)
-        self.back = (STRENGTH + DISCOUNT * tables) * self.norm
-        below = PARENT_STRENGTH + tables.sum()
-        self.parent_norm = 1 / below
-        self.unseen = (below - parent_sum) / (vocabulary + 1) / below
 
+class _Home:
+    def __init__(self, row):
+        self.row = {c: _open(getattr(row, c), k) for c, k in _HOME.items()}
+        self.name_at, self.word_at = np.cumsum(self.row["name_steps"]), np.cumsum(self.row["word_steps"])
+        self.busy, self.word_busy = self.row["busy"].astype(bool), self.row["word_busy"].astype(bool)
+
+    def parts(self):
+        """(bucket, places of its names, whether they are sampled, places of its words, whether they are sampled)."""
+        n, w = np.append(0, np.cumsum(self.row["n_names"])), np.append(0, np.cumsum(self.row["n_words"]))
+        for k, bucket in enumerate(self.row["buckets"]):
+            i, j = slice(n[k], n[k + 1]), slice(w[k], w[k + 1])
+            yield int(bucket), self.name_at[i], self.busy[i], self.word_at[j], self.word_busy[j]
+
+
+#: What a home tells a bucket, of all names and words at the end, of those that are sampled before:
+#: the restaurants' tables (and customers), the dishes' part in the parent (and training counts); and at the end the bucket's own tables.
+_TOLD = {"tables": "f4", "customers": "i8", "kept": "f8", "counts": "i8"}
+_TELLS = "bucket int, home int, " + ", ".join(f"{c} binary" for c in _TOLD) + ", seats binary, dishes_sum double, parent_tables double"
 
-def train(docs: DataFrame, seed: int = 1) -> Model:
-    """Fit the model to the rows of ``docs`` (``doc_id, text``) that aren't held out."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-size // BUCKET_BYTES))
-    counted = rows.mapInPandas(_count(buckets), "bucket int, words binary, pairs binary, classes binary, counts binary")
-    merged = stored(
-        counted.groupBy("bucket").applyInPandas(
-            _merge,
-            "bucket int, words binary, pairs binary, classes binary, counts binary, customers array<bigint>, tables array<bigint>, parent_tables bigint, vocabulary bigint",
-        ),
-        "pitmanyor",
-    )
-    by_class = {r["pos"]: r for r in merged.select("tables", F.posexplode("customers").alias("pos", "c")).groupBy("pos").agg(F.sum("c").alias("c"), F.sum(F.get("tables", F.col("pos"))).alias("t")).collect()}  # CLASSES rows
-    customers = np.array([by_class[k]["c"] if k in by_class else 0 for k in range(CLASSES)], float)
-    tables = np.array([by_class[k]["t"] if k in by_class else 0 for k in range(CLASSES)], float)
-    whole = merged.agg(F.sum("parent_tables"), F.sum("vocabulary")).first()
-    totals = {"tables": tables, "parent_tables": whole[0] or 0, "vocabulary": whole[1] or 0}
-    table = stored(
-        merged.select("bucket", "words", "pairs", "classes", "counts").mapInPandas(_gibbs(totals, seed), MODEL + ", tables array<double>, parent_sum double"), "pitmanyor"
-    )
-    seated = {r["pos"]: r["t"] for r in table.select(F.posexplode("tables").alias("pos", "t")).groupBy("pos").agg(F.sum("t").alias("t")).collect()}
-    parent_sum = table.agg(F.sum("parent_sum")).first()[0] or 0.0
-    return Model(
-        table.drop("tables", "parent_sum"), customers, np.array([seated.get(k, 0.0) for k in range(CLASSES)]), float(parent_sum), int(totals["vocabulary"]), int(buckets)
-    )
 
+def _tell(home: int, h: _Home, tables: np.ndarray, dishes: np.ndarray, parent: dict, last: bool, seed: int) -> list[dict]:
+    """Sample the parent's seating of the dishes and tell the buckets."""
+    whole = np.rint(dishes).astype(np.int64)
+    weight = (PARENT_STRENGTH + PARENT_DISCOUNT * parent["tables"]) / (parent["vocabulary"] + 1)
+    seats = mean_tables(whole, np.full(len(whole), weight), PARENT_DISCOUNT, SWEEPS, KEPT, np.random.default_rng([seed, home, 1])) / KEPT
+    kept = dishes - PARENT_DISCOUNT * np.minimum(seats, np.maximum(dishes, 0))
+    rows = [{"bucket": -1, "home": home, "dishes_sum": float(dishes.sum()), "parent_tables": float(seats.sum())}]
+    for bucket, name, busy, word, word_busy in h.parts():
+        if not last:
+            name, word = name[busy], word[word_busy]
+        said = {"tables": tables[name], "kept": kept[word]}
+        if last:
+            said |= {"customers": h.row["customers"][name], "counts": h.row["counts"][word]}
+        rows.append({"bucket": bucket, "home": home, **{c: _pack(x, _TOLD[c]) for c, x in said.items()}})
+    return rows
 
-def _log_shares(bucket, model: dict, words: np.ndarray, number: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the predictive probability of each occurrence (number of its word, class), and each word's training count."""
-    known, raw, parents, key, seats = bucket
-    at = np.searchsorted(known, words)
-    at = np.minimum(at, max(len(known) - 1, 0))
-    there = known[at] == words if len(known) else np.zeros(len(words), bool)
-    parent = np.full(len(words), model["unseen"])
-    count = np.zeros(len(words), np.int64)
-    if len(known):
-        parent[there] += parents[at[there]] * model["parent_norm"]
-        count[there] = raw[at[there]]
-    share = model["back"][kind] * parent[number]
-    if len(key):
-        wanted = np.where(there, at, -1)[number] * CLASSES + kind
-        spot = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        hit = key[spot] == wanted
-        share[hit] += seats[spot[hit]] * model["norm"][kind[hit]]
-    return np.log10(share), count
-
-
-def _opened(rows: pd.DataFrame):
-    """A bucket's row as arrays; empty ones where there is none."""
-    if not len(rows):
-        e = np.zeros(0)
-        return e.astype(np.uint64), e.astype(np.uint64), e, e.astype(np.int64), e
-    r = rows.iloc[0]
-    words, pairs = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["pairs"], np.uint16)
-    key = np.repeat(np.arange(len(words), dtype=np.int64), pairs) * CLASSES + np.frombuffer(r["classes"], np.uint8)
-    return words, np.frombuffer(r["counts"], np.uint64), np.frombuffer(r["parents"], np.float32).astype(float), key, np.frombuffer(r["seats"], np.float32).astype(float)
-
-
-def _frequent(least: int):
-    """The bucket rows cut down to the words of ``least`` or more occurrences."""
+
+_TELL_COLUMNS = ["bucket", "home", *_TOLD, "seats", "dishes_sum", "parent_tables"]
+
+
+def _told(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=_TELL_COLUMNS)
+    return out.astype(object).where(out.notna(), None)
+
+
+def _tell_first(parent: dict, seed: int):
+    """The totals while each pair has one table."""
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                words, pairs, raw = np.frombuffer(r.words, np.uint64), np.frombuffer(r.pairs, np.uint16), np.frombuffer(r.counts, np.uint64)
-                keep = raw >= least
-                if keep.any():
-                    each = np.repeat(keep, pairs)
-                    cut = lambda x, kind, by: np.frombuffer(x, kind)[by].tobytes()
-                    rows.append((r.bucket, words[keep].tobytes(), raw[keep].tobytes(), cut(r.parents, np.float32, keep), pairs[keep].tobytes(), cut(r.classes, np.uint8, each), cut(r.seats, np.float32, each)))
-            yield pd.DataFrame(rows, columns=["bucket", "words", "counts", "parents", "pairs", "classes", "seats"])
+            for row in pdf.itertuples(index=False):
+                h = _Home(row)
+                yield _told(_tell(row.home, h, h.row["tables"].astype(float), h.row["dishes"].astype(float), parent, False, seed))
 
     return run
 
 
-#: A batch's own row: doc_id, whether it is null, text hash and number of tokens of each text.
-_TEXTS = {"id": np.int64, "null": np.bool_, "key": np.int64, "tokens": np.int64}
-#: What a bucket's task says about a batch: numbers of texts in it, and their sums.
-_SUMS = {"doc": np.uint32, "known": np.int64, "base": np.float64, "score": np.float64}
+def _spread_told(told: pd.DataFrame, p: _Pairs, buckets: int, column: str, busy: bool, words: bool) -> np.ndarray:
+    """What the homes told of a bucket's names or words, in the bucket's order; zero where nothing was told."""
+    by_home = dict(zip(told["home"], told[column], strict=True))
+    chosen = p.busy_words if words else p.busy_names
+    out = np.zeros(len(p.words if words else p.names), _TOLD[column])
+    for home, n, w in p.homes(buckets):
+        at = w if words else n
+        out[at[chosen[at]] if busy else at] = _open(by_home.get(home), _TOLD[column])
+    return out
 
 
-def _deal(sent, buckets: int):
-    """Occurrences of a batch, packed by bucket: distinct words, how often each stands, and text and class of each occurrence.
+def _say(buckets: int, parent: dict, last: bool, seed: int):
+    """Seat and sweep a bucket's pairs, and say the tables to the homes."""
 
-    Frequent words are scored here; their sums travel with the batch's own row.
-    ``batch`` names the batch by task and place; ``check`` is a hash of its
-    texts, which tells if a repeated task dealt other batches.
-    """
+    def run(group, told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in rows.itertuples(index=False):
+            p = _Pairs(row)
+            told = told[told["seats"].isna()]
+            tables, kept = _spread_told(told, p, buckets, "tables", True, False), _spread_told(told, p, buckets, "kept", True, True)
+            s = p.several
+            below = (kept + (PARENT_STRENGTH + PARENT_DISCOUNT * parent["tables"]) / (parent["vocabulary"] + 1)) / (PARENT_STRENGTH + parent["dishes"])
+            weight = (STRENGTH + DISCOUNT * tables[p.place[s]].astype(float)) * below[p.word[s]]
+            seats = mean_tables(p.count[s], weight, DISCOUNT, SWEEPS, KEPT, np.random.default_rng([seed, int(row.bucket), 0]))
+            by_name, by_word = p.by_name(seats / KEPT, s), p.by_word(seats / KEPT, s)
+            for home, n, w in p.homes(buckets):
+                n, w = n[p.busy_names[n]], w[p.busy_words[w]]
+                out.append({"home": home, "bucket": row.bucket, "tables": _pack(by_name[n], "f4"), "dishes": _pack(by_word[w], "f4"), "seats": None})
+            if last:
+                # through any home that has a row, back to the bucket
+                out[-1:] = [out[-1] | {"seats": _pack(seats, "i8")}] if out else []
+        return pd.DataFrame(out, columns=["home", "bucket", "tables", "dishes", "seats"])
 
-    def run(batches):
-        model, frequent = sent.value
-        task = TaskContext.get().partitionId() << 32
-        for place, pdf in enumerate(_portions(batches)):
-            hashes, token, kind, doc = _tokens(pdf["text"])
-            own = {c: pdf[c].to_numpy(k).tobytes() for c, k in _TEXTS.items() if c != "tokens"}
-            own["tokens"] = np.bincount(doc, minlength=len(pdf)).astype(np.int64).tobytes()
-            check = xxhash.xxh64_intdigest(own["id"] + own["key"]) >> 1
-            fast = np.isin(hashes, frequent[0])[token]
-            log, count = _log_shares(frequent, model, hashes, token[fast], kind[fast].astype(np.int64))
-            sums = _summed(doc[fast], log, count[token[fast]], model, len(pdf))
-            rows = [{"bucket": check % buckets, **own, **{c: x.tobytes() for c, x in zip(_SUMS, (np.arange(len(pdf), dtype=np.uint32), *sums), strict=True)}}]
-            token, kind, doc = token[~fast], kind[~fast], doc[~fast].astype(np.uint32)
-            spread = _bucket(hashes, buckets)
-            order = np.lexsort((hashes[token], spread[token]))
-            token, kind, doc = token[order], kind[order], doc[order]
-            for b, i, j in _slices(spread[token]):
-                first = np.flatnonzero(np.append(True, token[i + 1 : j] != token[i : j - 1]))
-                times = np.diff(np.append(first, j - i)).astype(np.uint32)
-                rows.append({"bucket": b, "words": hashes[token[i:j][first]].tobytes(), "times": times.tobytes(), "classes": kind[i:j].tobytes(), "doc": doc[i:j].tobytes()})
-            out = pd.DataFrame(rows, columns=["bucket", "words", "times", "classes", *_TEXTS, *_SUMS])
-            out.insert(0, "batch", task | place)
-            out.insert(1, "check", check)
-            yield out.astype(object).where(out.notna(), None)
+    return run
+
+
+_SAYS = "home int, bucket int, tables binary, dishes binary, seats binary"
+
+
+def _total(parent: dict, last: bool, seed: int):
+    """A home's new totals, told to the buckets."""
+
+    def run(group, said: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in rows.itertuples(index=False):
+            h = _Home(row)
+            tables, dishes = h.row["single"].astype(float), h.row["word_single"].astype(float)
+            by_bucket = {r.bucket: r for r in said.itertuples(index=False)}
+            for bucket, name, busy, word, word_busy in h.parts():
+                if bucket in by_bucket:
+                    tables[name[busy]] += _open(by_bucket[bucket].tables, "f4")
+                    np.add.at(dishes, word[word_busy], _open(by_bucket[bucket].dishes, "f4"))
+            out += _tell(row.home, h, tables, dishes, parent, last, seed)
+            out += [{"bucket": r.bucket, "home": row.home, "seats": r.seats} for r in said.itertuples(index=False) if r.seats is not None]
+        return _told(out)
 
     return run
 
 
-def _summed(doc: np.ndarray, log: np.ndarray, count: np.ndarray, model: dict, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Known tokens, base score and score by text."""
-    known = np.bincount(doc, count > 0, texts).astype(np.int64)
-    return known, np.bincount(doc, np.log10((count + 1) * model["base"]), texts), np.bincount(doc, log, texts)
+class Model:
+    """Buckets with what their last phase told them, and the bounded part: totals of the parent."""
+
+    def __init__(self, table: DataFrame, told: DataFrame, parent: dict, tokens: int, buckets: int):
+        self.table, self.told, self.parent, self.tokens, self.buckets = table, told, parent, tokens, buckets
+        self.vocabulary = parent["vocabulary"]
+
+
+def _parent(told: DataFrame, parent: dict) -> dict:
+    """The parent's totals of a phase: sums over one row of each home."""
+    got = told.where("bucket = -1").agg(F.sum("dishes_sum").alias("dishes"), F.sum("parent_tables").alias("tables")).first()
+    return parent | {"dishes": got["dishes"] or 0.0, "tables": got["tables"] or 0.0}
 
 
-def _score(sent):
-    def run(group, dealt: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        model, _ = sent.value
-        bucket = _opened(rows)
+def train(docs: DataFrame, seed: int = 1) -> Model:
+    """Fit the model to the rows of ``docs`` (``doc_id, text``) that aren't held out; its buckets keep the occurrences of all rows."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(max(8, -(-size // BUCKET_BYTES)))
+    dealt = _rows(docs).mapInPandas(_deal(buckets, frequent(docs, buckets)), _DEALT)
+    table = bucketed(dealt.groupBy("bucket").applyInPandas(_gather_bucket, _BUCKETS), "bucket", buckets, "pitmanyor")
+    said = table.select("bucket", *_BUCKET).mapInPandas(_say_first(buckets), "home int, bucket int, " + ", ".join(f"{c} binary" for c in _FIRST))
+    homes = bucketed(said.groupBy("home").applyInPandas(_gather_home, _HOMES), "home", buckets, "pitmanyor")
+    sums = homes.agg(F.sum("tokens"), F.sum("vocabulary")).first()
+    tokens, vocabulary = int(sums[0] or 0), int(sums[1] or 0)
+    parent = {"vocabulary": vocabulary, "tables": float(vocabulary), "dishes": 0.0}
+    told = stored(homes.mapInPandas(_tell_first(parent, seed), _TELLS), "pitmanyor")
+    parent = _parent(told, parent)
+    for phase in range(1, PHASES + 1):
+        last = phase == PHASES
+        pairs = table.select("bucket", *_BUCKET).groupBy("bucket")
+        said = told.where("bucket >= 0").groupBy("bucket").cogroup(pairs).applyInPandas(_say(buckets, parent, last, seed + phase), _SAYS)
+        told = stored(said.groupBy("home").cogroup(homes.groupBy("home")).applyInPandas(_total(parent, last, seed + phase), _TELLS), "pitmanyor")
+        parent = _parent(told, parent)
+    return Model(table, told, parent, tokens, buckets)
+
+
+def shares(row, told: pd.DataFrame, parent: dict, buckets: int) -> tuple[_Pairs, np.ndarray, np.ndarray]:
+    """A bucket's pairs, the predictive probability of each, and the training count of each word."""
+    p = _Pairs(row)
+    seats = np.where(p.count > 0, 1.0, 0.0)
+    own = told[told["seats"].notna()]
+    if len(own):
+        seats[p.several] = _open(own["seats"].iloc[0], "i8") / KEPT
+    told = told[told["seats"].isna()]
+    get = lambda c, words: _spread_told(told, p, buckets, c, False, words).astype(float)
+    tables, customers, kept, counts = get("tables", False), get("customers", False), get("kept", True), get("counts", True)
+    below = (kept + (PARENT_STRENGTH + PARENT_DISCOUNT * parent["tables"]) / (parent["vocabulary"] + 1)) / (PARENT_STRENGTH + parent["dishes"])
+    back = STRENGTH + DISCOUNT * tables[p.place]
+    share = (p.count - DISCOUNT * seats + back * below[p.word]) / (STRENGTH + customers[p.place])
+    return p, share, counts
+
+
+#: Sums of a batch's texts in one bucket: known tokens, base score and score.
+_SUMS = {"known": "i4", "base": "f8", "score": "f8"}
+_SCORED = "batch bigint, " + ", ".join(f"{c} binary" for c in (*_HEAD, *_SUMS))
+
+
+def _score(buckets: int, parent: dict, base: float):
+    def run(group, told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for r in dealt.itertuples(index=False):
-            if r.words is None:
-                out.append(r._asdict())
+        for row in rows.itertuples(index=False):
+            use = {c: _open(getattr(row, c), k) for c, k in (_USES | _HEADS).items()}
+            ends = np.append(0, np.cumsum(use["sizes"]))
+            for k, batch in enumerate(use["heads"]):
+                out.append({"batch": int(batch), **{c: _pack(use[c][ends[k] : ends[k + 1]], kind) for c, kind in _HEAD.items()}})
+            if not len(use["batches"]):
                 continue
-            words, times = np.frombuffer(r.words, np.uint64), np.frombuffer(r.times, np.uint32)
-            word = np.repeat(np.arange(len(words)), times)
-            log, count = _log_shares(bucket, model, words, word, np.frombuffer(r.classes, np.uint8).astype(np.int64))
-            own, number = np.unique(np.frombuffer(r.doc, np.uint32), return_inverse=True)
-            sums = _summed(number, log, count[word], model, len(own))
-            out.append({"batch": r.batch, "check": r.check, **{c: x.tobytes() for c, x in zip(_SUMS, (own, *sums), strict=True)}})
-        frame = pd.DataFrame(out, columns=["batch", "check", *_TEXTS, *_SUMS])
+            p, share, counts = shares(row, told, parent, buckets)
+            log, plain, known = np.log10(share), np.log10((counts + 1) * base)[p.word], (counts > 0)[p.word]
+            i = j = 0
+            for batch, pairs, docs in zip(use["batches"], use["n_pairs"], use["n_docs"], strict=True):
+                at = np.repeat(np.cumsum(use["steps"][i : i + pairs], dtype=np.int64), use["times"][i : i + pairs])
+                doc = use["docs"][j : j + docs].astype(np.int64)
+                i, j = i + pairs, j + docs
+                sums = {"known": np.bincount(doc, known[at]), "base": np.bincount(doc, plain[at]), "score": np.bincount(doc, log[at])}
+                out.append({"batch": int(batch), **{c: _pack(x, _SUMS[c]) for c, x in sums.items()}})
+        frame = pd.DataFrame(out, columns=["batch", *_HEAD, *_SUMS])
         return frame.astype(object).where(frame.notna(), None)
 
     return run
 
 
 def _gather(rows: pd.DataFrame) -> pd.DataFrame:
-    """The sums of all buckets for the texts of one batch."""
-    if rows["check"].nunique() != 1:
-        raise RuntimeError("the texts came in another order when a task was repeated: store them first")
-    head = rows[rows["id"].notna()].iloc[0]
-    out = {c: np.frombuffer(head[c], k) for c, k in _TEXTS.items()}
-    total = {c: np.zeros(len(out["id"]), k) for c, k in _SUMS.items() if c != "doc"}
-    for r in rows.itertuples(index=False):
-        doc = np.frombuffer(r.doc, np.uint32)
+    """The sums of all buckets for the texts of one batch, which repeated rows may have made more than one."""
+    heads = rows[rows["ids"].notna()]
+    out = {c: _open(heads[c].iloc[0], k) for c, k in _HEAD.items()}
+    total = {c: np.zeros(len(out["ids"]), k) for c, k in _SUMS.items()}
+    for r in rows[rows["known"].notna()].itertuples(index=False):
         for c, x in total.items():
-            x[doc] += np.frombuffer(getattr(r, c), _SUMS[c])
-    return pd.DataFrame(out | total)
+            part = _open(getattr(r, c), _SUMS[c])
+            x[: len(part)] += part
+    frame = pd.DataFrame(out | {c: x // len(heads) if c == "known" else x / len(heads) for c, x in total.items()})
+    return pd.concat([frame] * len(heads), ignore_index=True)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, text_key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
+def score(model: Model) -> DataFrame:
+    """``doc_id, text_key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row that the model was made from.
 
     Scores are sums of log10 probabilities over all tokens, the end included.
     """
-    least = max(2, -(-model.tokens // FREQUENT))
-    rows = model.table.mapInPandas(_frequent(least), MODEL).collect()  # at most FREQUENT words
-    few = [_opened(pd.DataFrame([r.asDict()])) for r in rows]
-    if few:
-        shift = np.cumsum([0] + [len(f[0]) for f in few[:-1]])
-        words = np.concatenate([f[0] for f in few])
-        order = np.argsort(words)
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        key = np.concatenate([f[3] + s * CLASSES for f, s in zip(few, shift, strict=True)])
-        key = back[key // CLASSES] * CLASSES + key % CLASSES
-        by = np.argsort(key)
-        frequent = (words[order], np.concatenate([f[1] for f in few])[order], np.concatenate([f[2] for f in few])[order], key[by], np.concatenate([f[4] for f in few])[by])
-    else:
-        frequent = _opened(pd.DataFrame([]))
-    bounded = {
-        "norm": model.norm, "back": model.back, "parent_norm": model.parent_norm, "unseen": model.unseen,
-        "base": 1 / (model.tokens + 1 * (model.vocabulary + 1)),
-    }
-    sent = docs.sparkSession.sparkContext.broadcast((bounded, frequent))
-    asked = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("null"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")
-    )
-    texts, sums = ", ".join(f"{c} binary" for c in _TEXTS), ", ".join(f"{c} binary" for c in _SUMS)
-    dealt = asked.mapInPandas(_deal(sent, model.buckets), f"batch bigint, check bigint, bucket int, words binary, times binary, classes binary, {texts}, {sums}")
-    parts = dealt.groupBy("bucket").cogroup(model.table.groupBy("bucket")).applyInPandas(_score(sent), f"batch bigint, check bigint, {texts}, {sums}")
-    each = parts.groupBy("batch").applyInPandas(_gather, "id bigint, null boolean, key bigint, tokens bigint, known bigint, base double, score double")
-    return each.withColumn("doc_id", F.when(~F.col("null"), F.col("id"))).select(
+    base = 1 / (model.tokens + 1 * (model.vocabulary + 1))
+    told = model.told.where("bucket >= 0").groupBy("bucket")
+    parts = told.cogroup(model.table.groupBy("bucket")).applyInPandas(_score(model.buckets, model.parent, base), _SCORED)
+    each = parts.groupBy("batch").applyInPandas(_gather, "ids bigint, nulls int, keys bigint, tokens bigint, known bigint, base double, score double")
+    return each.withColumn("doc_id", F.when(F.col("nulls") == 0, F.col("ids"))).select(
         "doc_id",
-        F.col("key").alias("text_key"),
+        F.col("keys").alias("text_key"),
         held_out().alias("held_out"),
         F.col("tokens").alias("n_tokens"),
         F.col("known").alias("n_known"),
@@ -485,12 +524,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def scored(docs: DataFrame, seed: int = 1) -> DataFrame:
     """Train on the rows that aren't held out and score every row.
 
-    Null and empty texts consist of the end alone.  With nothing to train on,
-    all words are unknown.  Rows that repeat doc_id and text are scored alike.
-    ``docs`` must come in the same order whenever a task is repeated, as a
-    stored table does.
+    Null and empty texts consist of the end alone; a text of any length is one
+    row of one batch.  With nothing to train on, all words are unknown; an
+    empty table gives an empty result.  Rows that repeat doc_id and text are
+    scored alike.  Other columns are ignored.
     """
-    return score(docs, train(docs, seed))
+    return score(train(docs, seed))
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

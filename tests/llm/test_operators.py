@@ -489,23 +489,6 @@ def test_scores(spark, odd, none):
     assert only and all(r.n_known == 0 and r.train_tokens == 0 and r.score == 0 for r in only)
 
 
-def test_probabilities_sum_to_one(spark):
-    rng = random.Random(2)
-    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.choice((1, 1, 2)) for _ in range(30))) for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = pitmanyor.train(docs)
-    whole = []
-    for r in model.table.collect():
-        words, raw, parents, key, seats = pitmanyor._opened(__import__("pandas").DataFrame([r.asDict()]))
-        bounded = {"norm": model.norm, "back": model.back, "parent_norm": model.parent_norm, "unseen": model.unseen}
-        for k in (5, 77, 200, 255):
-            log, _ = pitmanyor._log_shares((words, raw, parents, key, seats), bounded, words, np.arange(len(words)), np.full(len(words), k))
-            whole.append((k, (10**log).sum()))
-    for k in (5, 77, 200, 255):
-        unknown = model.back[k] * model.unseen
-        assert math.isclose(sum(p for c, p in whole if c == k) + unknown, 1, rel_tol=1e-4)
-
-
 def test_model_beats_the_base_on_held_out_text(spark):
     rng = random.Random(9)
     after = {a: [rng.choice("abcdefghijklmnop") for _ in range(2)] for a in "abcdefghijklmnop"}
