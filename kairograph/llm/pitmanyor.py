@@ -40,7 +40,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 #: Rounds in which totals are renewed; sweeps over all customers in each, and how many of these are averaged.
 PHASES, SWEEPS, KEPT = 3, 4, 2
 #: Bytes of text that a bucket gets on average, and that a task takes at once.
-BUCKET_BYTES, BATCH_BYTES = 24_000_000, 24_000_000
+BUCKET_BYTES, BATCH_BYTES = 12_000_000, 12_000_000
 #: A word that fills more than this part of a bucket is spread over all buckets ...
 SPREAD = 0.125
 #: ... as told by one document of so many, which moves rows and no results.
@@ -313,7 +313,7 @@ def _tell(home: int, h: _Home, tables: np.ndarray, dishes: np.ndarray, parent: d
     """Sample the parent's seating of the dishes and tell the buckets."""
     whole = np.rint(dishes).astype(np.int64)
     weight = (PARENT_STRENGTH + PARENT_DISCOUNT * parent["tables"]) / (parent["vocabulary"] + 1)
-    seats = mean_tables(whole, np.full(len(whole), weight), PARENT_DISCOUNT, SWEEPS, KEPT, np.random.default_rng([seed, home, 1])) / KEPT
+    seats = mean_tables(whole, np.full(len(whole), weight), PARENT_DISCOUNT, parent["sweeps"], parent["kept"], np.random.default_rng([seed, home, 1])) / parent["kept"]
     kept = dishes - PARENT_DISCOUNT * np.minimum(seats, np.maximum(dishes, 0))
     rows = [{"bucket": -1, "home": home, "dishes_sum": float(dishes.sum()), "parent_tables": float(seats.sum())}]
     for bucket, name, busy, word, word_busy in h.parts():
@@ -369,8 +369,8 @@ def _say(buckets: int, parent: dict, last: bool, seed: int):
             s = p.several
             below = (kept + (PARENT_STRENGTH + PARENT_DISCOUNT * parent["tables"]) / (parent["vocabulary"] + 1)) / (PARENT_STRENGTH + parent["dishes"])
             weight = (STRENGTH + DISCOUNT * tables[p.place[s]].astype(float)) * below[p.word[s]]
-            seats = mean_tables(p.count[s], weight, DISCOUNT, SWEEPS, KEPT, np.random.default_rng([seed, int(row.bucket), 0]))
-            by_name, by_word = p.by_name(seats / KEPT, s), p.by_word(seats / KEPT, s)
+            seats = mean_tables(p.count[s], weight, DISCOUNT, parent["sweeps"], parent["kept"], np.random.default_rng([seed, int(row.bucket), 0]))
+            by_name, by_word = p.by_name(seats / parent["kept"], s), p.by_word(seats / parent["kept"], s)
             for home, n, w in p.homes(buckets):
                 n, w = n[p.busy_names[n]], w[p.busy_words[w]]
                 out.append({"home": home, "bucket": row.bucket, "tables": _pack(by_name[n], "f4"), "dishes": _pack(by_word[w], "f4"), "seats": None})
@@ -406,7 +406,7 @@ def _total(parent: dict, last: bool, seed: int):
 
 
 class Model:
-    """Buckets with what their last phase told them, and the bounded part: totals of the parent."""
+    """Buckets with what their last phase told them, and the bounded part: totals of the parent, and how it was swept."""
 
     def __init__(self, table: DataFrame, told: DataFrame, parent: dict, tokens: int, buckets: int):
         self.table, self.told, self.parent, self.tokens, self.buckets = table, told, parent, tokens, buckets
@@ -419,7 +419,7 @@ def _parent(told: DataFrame, parent: dict) -> dict:
     return parent | {"dishes": got["dishes"] or 0.0, "tables": got["tables"] or 0.0}
 
 
-def train(docs: DataFrame, seed: int = 1) -> Model:
+def train(docs: DataFrame, seed: int = 1, phases: int = PHASES, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
     """Fit the model to the rows of ``docs`` (``doc_id, text``) that aren't held out; its buckets keep the occurrences of all rows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(8, -(-size // BUCKET_BYTES)))
@@ -429,11 +429,11 @@ def train(docs: DataFrame, seed: int = 1) -> Model:
     homes = bucketed(said.groupBy("home").applyInPandas(_gather_home, _HOMES), "home", buckets, "pitmanyor")
     sums = homes.agg(F.sum("tokens"), F.sum("vocabulary")).first()
     tokens, vocabulary = int(sums[0] or 0), int(sums[1] or 0)
-    parent = {"vocabulary": vocabulary, "tables": float(vocabulary), "dishes": 0.0}
+    parent = {"vocabulary": vocabulary, "tables": float(vocabulary), "dishes": 0.0, "sweeps": sweeps, "kept": kept}
     told = stored(homes.mapInPandas(_tell_first(parent, seed), _TELLS), "pitmanyor")
     parent = _parent(told, parent)
-    for phase in range(1, PHASES + 1):
-        last = phase == PHASES
+    for phase in range(1, phases + 1):
+        last = phase == phases
         pairs = table.select("bucket", *_BUCKET).groupBy("bucket")
         said = told.where("bucket >= 0").groupBy("bucket").cogroup(pairs).applyInPandas(_say(buckets, parent, last, seed + phase), _SAYS)
         told = stored(said.groupBy("home").cogroup(homes.groupBy("home")).applyInPandas(_total(parent, last, seed + phase), _TELLS), "pitmanyor")
@@ -447,7 +447,7 @@ def shares(row, told: pd.DataFrame, parent: dict, buckets: int) -> tuple[_Pairs,
     seats = np.where(p.count > 0, 1.0, 0.0)
     own = told[told["seats"].notna()]
     if len(own):
-        seats[p.several] = _open(own["seats"].iloc[0], "i8") / KEPT
+        seats[p.several] = _open(own["seats"].iloc[0], "i8") / parent["kept"]
     told = told[told["seats"].isna()]
     get = lambda c, words: _spread_told(told, p, buckets, c, False, words).astype(float)
     tables, customers, kept, counts = get("tables", False), get("customers", False), get("kept", True), get("counts", True)

@@ -3,55 +3,104 @@
 A *group* holds the customers of one dish in one restaurant.  Given a weight for
 opening a table (what the restaurant's strength, its tables and the parent's
 probability of the dish make up), groups don't depend on each other, so they
-are sampled together: a row of an array for each group, a column for each
-table, the number of its customers inside.
-
-A sweep takes every customer of a group of up to :data:`BLOCKS` away, one at a
-time, and seats it anew.  Larger groups move in :data:`BLOCKS` blocks of
-customers drawn at random, whose members are seated side by side: the chance of
-a new table is that of the block's middle, and those who share a block don't
-share a new table.
+are sampled together.
+
+Groups of up to :data:`ALONE` customers are sampled one customer after another:
+a sweep takes each away and seats it anew.  Such a group is in one of few states
+(the sizes of its tables, whichever table is which), so a move is a step in a
+table of states.  Of a larger group a row of an array holds the sizes of the
+tables; it moves in :data:`BLOCKS` blocks of customers drawn at random, whose
+members are seated side by side: the chance of a new table is that of the
+block's middle, and those who share a block don't share a new table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
-#: Parts of a group that move together, and the largest group that moves one by one.
-BLOCKS = 32
+#: The largest group that moves one customer at a time, and the parts in which others move.
+ALONE, BLOCKS = 20, 16
 #: Numbers in an array of tables.
 CELLS = 1 << 20
 
 
-def _room(sizes: np.ndarray, wanted: np.ndarray | int) -> np.ndarray:
-    """The array with columns for more tables where a row has fewer free ones than wanted."""
-    while ((sizes == 0).sum(axis=1) < wanted).any():
-        sizes = np.hstack([sizes, np.zeros_like(sizes)])
-    return sizes
+class _States:
+    """The sizes that tables of up to :data:`ALONE` customers can have, and what moves make of them."""
+
+    def __init__(self):
+        level, sizes = [()], [()]
+        for _ in range(ALONE):
+            level = sorted({tuple(sorted((*x[:k], n + 1, *x[k + 1 :]), reverse=True)) for x in level for k, n in enumerate(x)} | {(*x, 1) for x in level})
+            sizes += level
+        at = {x: k for k, x in enumerate(sizes)}
+        put = lambda x, k, by: tuple(sorted((n for n in (*x[:k], x[k] + by, *x[k + 1 :]) if n), reverse=True))
+        self.tables = np.array([len(x) for x in sizes])
+        self.customers = np.array([sum(x) for x in sizes])
+        #: By customer who leaves; and by who is joined: customers but the first of each table, then tables, then nobody.
+        self.leave = np.zeros((len(sizes), ALONE), np.int16)
+        self.join = np.zeros((len(sizes), ALONE + 1), np.int16)
+        for s, x in enumerate(sizes):
+            for c, k in enumerate(k for k, n in enumerate(x) for _ in range(n)):
+                self.leave[s, c] = at[put(x, k, -1)]
+            if sum(x) < ALONE:
+                for c, k in enumerate([*(k for k, n in enumerate(x) for _ in range(n - 1)), *range(len(x))]):
+                    self.join[s, c] = at[put(x, k, 1)]
+                self.join[s, sum(x)] = at[(*x, 1)]
+
+
+@cache
+def _states() -> _States:
+    return _States()
+
+
+def _small_ahead(reach: list[int], weight: np.ndarray, discount: float) -> list[np.ndarray]:
+    """:func:`_ahead` for groups in order of size, where ``reach`` says how many of them seat a customer at each step."""
+    now = [weight[:m] for m in reach]
+    for _ in range(4):
+        tables, left = np.ones(len(weight)), []
+        for k, (w, m) in enumerate(zip(now, reach, strict=True)):
+            left.append(1 / (w + (k + 1) - discount * tables[:m]))
+            tables[:m] += w * left[-1]
+        after = np.zeros(len(weight))
+        for k in range(len(reach) - 1, -1, -1):
+            m = reach[k]
+            now[k] = weight[:m] * np.exp(-discount * after[:m])
+            after[:m] += left[k]
+    return now
 
 
-def _pick(weight: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Column of each row in which the running sum of weights passes ``at``."""
-    return (np.cumsum(weight, axis=1) <= at[:, None]).sum(axis=1)
+def _small_tables(count: np.ndarray, weight: np.ndarray, discount: float, sweeps: int, kept: int, rng: np.random.Generator) -> np.ndarray:
+    """:func:`mean_tables` of groups of 2 to :data:`ALONE` customers, largest first."""
+    states = _states()
 
+    def join(state: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        n, t = states.customers[state], states.tables[state]
+        at = rng.random(len(state)) * (n - discount * t + weight)
+        whom = np.where(at < n - t, at, (n - t) + (at - (n - t)) / (1 - discount)).astype(np.int64)
+        return states.join[state, np.where(at < n - discount * t, np.minimum(whom, n - 1), n)]
 
-def _leave_one(sizes: np.ndarray, rng: np.random.Generator) -> None:
-    n = sizes.sum(axis=1)
-    sizes[np.arange(len(sizes)), _pick(sizes, (rng.random(len(sizes)) * n).astype(np.int64))] -= 1
+    # at step k the groups of more than k customers move
+    reach = [int(np.searchsorted(-count, -k, side="left")) for k in range(int(count[0]))]
+    state = np.ones(len(count), np.int16)
+    for m, w in zip(reach[1:], _small_ahead(reach[1:], weight, discount), strict=True):
+        state[:m] = join(state[:m], w)
+    total = np.zeros(len(count), np.int64)
+    for sweep in range(sweeps):
+        for m in reach:
+            out = states.leave[state[:m], (rng.random(m) * count[:m]).astype(np.int64)]
+            state[:m] = join(out, weight[:m])
+        if sweep >= sweeps - kept:
+            total += states.tables[state]
+    return total
 
 
-def _join_one(sizes: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Seat one customer in each row."""
-    seated = np.cumsum(np.maximum(sizes - np.float32(discount), 0), axis=1, dtype=np.float32)
-    at = rng.random(len(sizes)) * (seated[:, -1] + weight)
-    new = at >= seated[:, -1]
-    spot = (seated <= at[:, None]).sum(axis=1)
-    if new.any():
-        sizes = _room(sizes, new.astype(int))
-        spot[new] = (sizes[new] == 0).argmax(axis=1)
-    sizes[np.arange(len(sizes)), spot] += 1
+def _room(sizes: np.ndarray, wanted: np.ndarray | int) -> np.ndarray:
+    """The array with columns for more tables where a row has fewer free ones than wanted."""
+    while ((sizes == 0).sum(axis=1) < wanted).any():
+        sizes = np.hstack([sizes, np.zeros_like(sizes)])
     return sizes
 
 
@@ -89,25 +138,19 @@ def _ahead(steps: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, disco
 
 
 def _seat_first(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Seat all customers as they come, from an empty restaurant; of many, a sixteenth of those seated at a time."""
-    small = count.max() <= BLOCKS
-    sizes = np.zeros((len(count), 2), np.int16 if small else np.int64)
+    """Seat all customers as they come, from an empty restaurant; a fifth of those seated at a time."""
+    sizes = np.zeros((len(count), 2), np.int64)
     sizes[:, 0] = 1
     steps, seated = [], np.ones(len(count), np.int64)
     while (seated < count).any():
-        steps.append((seated, np.minimum(count - seated, np.maximum(1, seated // 16))))
+        steps.append((seated, np.minimum(count - seated, np.maximum(1, seated // 5))))
         seated = seated + steps[-1][1]
     for w, (_, more) in zip(_ahead(steps, weight, discount), steps, strict=True):
-        sizes = _join_one(sizes, w, discount, rng) if small else _join_many(sizes, more, w, discount, rng)
+        sizes = _join_many(sizes, more, w, discount, rng)
     return sizes
 
 
-def _sweep(sizes: np.ndarray, count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    if count.max() <= BLOCKS:
-        for _ in range(int(count[0])):
-            _leave_one(sizes, rng)
-            sizes = _join_one(sizes, weight, discount, rng)
-        return sizes
+def _sweep(sizes: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     for _ in range(BLOCKS):
         gone = rng.binomial(sizes, 1 / BLOCKS)
         sizes -= gone
@@ -116,13 +159,12 @@ def _sweep(sizes: np.ndarray, count: np.ndarray, weight: np.ndarray, discount: f
 
 
 def _alike(count: np.ndarray, weight: np.ndarray) -> Iterator[np.ndarray]:
-    """Numbers of groups that are sampled together: of equal size while small, then of about as many tables."""
+    """Numbers of groups that are sampled together: of about as many tables."""
     tables = np.minimum(count, 1 + weight * np.log1p(count / (weight + 1)))
-    small = count <= BLOCKS
-    order = np.lexsort((tables, np.where(small, count, BLOCKS + 1)))
-    kind = np.where(small, count, BLOCKS + 1 + np.ceil(np.log2(tables + 1)).astype(np.int64))[order]
+    order = np.argsort(tables, kind="stable")
+    kind = np.ceil(np.log2(tables[order] + 3) / 2)
     for part in np.split(order, np.flatnonzero(np.diff(kind)) + 1):
-        wide = max(1, int(CELLS // max(4, 2 * tables[part].max())))
+        wide = max(1, int(CELLS // max(8, 2 * tables[part].max(), 4 * np.log(count[part].max()))))
         for at in range(0, len(part), wide):
             yield part[at : at + wide]
 
@@ -134,15 +176,17 @@ def mean_tables(count: np.ndarray, weight: np.ndarray, discount: float, sweeps:
     group of one customer has one table.
     """
     out = np.where(count > 0, kept, 0).astype(np.int64)
-    several = np.flatnonzero(count > 1)
-    if not len(several):
-        return out
-    for part in _alike(count[several], weight[several]):
-        own = several[part]
+    small = np.flatnonzero((count > 1) & (count <= ALONE))
+    if len(small):
+        small = small[np.argsort(-count[small], kind="stable")]
+        out[small] = _small_tables(count[small], weight[small], discount, sweeps, kept, rng)
+    large = np.flatnonzero(count > ALONE)
+    for part in _alike(count[large], weight[large]) if len(large) else ():
+        own = large[part]
         n, w = count[own], weight[own]
         sizes, total = _seat_first(n, w, discount, rng), np.zeros(len(own), np.int64)
         for sweep in range(sweeps):
-            sizes = _sweep(sizes, n, w, discount, rng)
+            sizes = _sweep(sizes, w, discount, rng)
             if sweep >= sweeps - kept:
                 total += (sizes > 0).sum(axis=1)
         out[own] = total
