@@ -40,7 +40,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 #: Rounds in which totals are renewed; sweeps over all customers in each, and how many of these are averaged.
 PHASES, SWEEPS, KEPT = 3, 4, 2
 #: Bytes of text that a bucket gets on average, and that a task takes at once.
-BUCKET_BYTES, BATCH_BYTES = 12_000_000, 12_000_000
+BUCKET_BYTES, BATCH_BYTES = 8_000_000, 12_000_000
 #: A word that fills more than this part of a bucket is spread over all buckets ...
 SPREAD = 0.125
 #: ... as told by one document of so many, which moves rows and no results.
@@ -157,16 +157,25 @@ def _deal(buckets: int, spread: np.ndarray):
             batch = xxhash.xxh64_intdigest(own["ids"] + own["keys"] + own["nulls"]) >> 1
             words, word_at = np.unique(hashes, return_inverse=True)
             names, name_at = np.unique(_names(hashes), return_inverse=True)
-            home = _names(words).astype(np.int64)
             wide = np.isin(words, spread)
-            word, name = word_at[token].astype(np.int64), name_at[before].astype(np.int64)
-            bucket = (home[word] + np.where(wide[word], names[name].astype(np.int64), 0)) % buckets
-            pair = (bucket * len(words) + word) * len(names) + name
+            word, name = word_at.astype(np.int32)[token], name_at.astype(np.int32)[before]
+            del token, before
+            # the bucket, then the word, then the restaurant in one number
+            pair = _names(words).astype(np.int64)[word]
+            if wide.any():
+                far = wide[word]
+                pair[far] += names[name[far]]
+            pair %= buckets
+            for by, low in ((len(words), word), (len(names), name)):
+                pair *= by
+                pair += low
+            del word, name
             order = np.argsort(pair, kind="stable")
             pair = pair[order]
             at = _runs(pair)
-            kept = (~pdf["held_out"].to_numpy(bool))[doc].astype(np.int64)[order]
+            kept = (~pdf["held_out"].to_numpy(bool)).astype(np.int32)[doc[order]]
             train, times, pair, doc = np.add.reduceat(kept, at), np.diff(np.append(at, len(order))), pair[at], doc[order]
+            del order, kept
             name, word = pair % len(names), pair // len(names)
             bucket, word = word // len(words), word % len(words)
             rows, edge = [{"bucket": batch % buckets, "batch": batch, **own}], np.append(_runs(bucket), len(bucket))
