@@ -35,8 +35,13 @@ def parsed(text: str | Column) -> Column:
 
 
 def formatted(ts: str | Column) -> Column:
-    """Canonical text of a timestamp; instants before 1970 become 1970-01-01."""
-    return F.date_format(F.greatest(_c(ts), F.lit("1970-01-01T00:00:00Z").cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """Canonical text of a timestamp."""
+    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def reading(ts: str | Column) -> Column:
+    """Canonical text of a clock's reading: a clock doesn't stand before 1970."""
+    return formatted(F.greatest(_c(ts), F.lit("1970-01-01T00:00:00Z").cast("timestamp")))
 
 
 def valid_at(ts: Column, valid_from: str | Column = "valid_from", valid_to: str | Column = "valid_to") -> Column:
@@ -90,5 +95,5 @@ def cosine_distance(a: str | Column, b: str | Column) -> Column:
 
 
 def tokens(text: str | Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(_c(text)), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
+    """Lower-cased runs of letters and digits of any script."""
+    return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")

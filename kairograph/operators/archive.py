@@ -42,12 +42,12 @@ def without(df: DataFrame, moved: DataFrame, key: list[str]) -> DataFrame:
     return df.join(moved.select(*key), key, "left_anti")
 
 
-def boundaries(oldest: str, cutoff: str, window: dt.timedelta) -> list[str]:
-    """Cutoffs of archiving in sessions: oldest + window, + 2 windows, ..., the last is ``cutoff``."""
+def boundaries(oldest: str, cutoff: str, window: dt.timedelta, most: int | None = MOST_SESSIONS) -> list[str]:
+    """Cutoffs of archiving in sessions: oldest + window, + 2 windows, ..., the last is ``cutoff``; more than ``most`` are refused (None: never)."""
     if window <= dt.timedelta(0):
         raise ArchiveWindow(reason="it must be positive")
     begin, end = from_canonical(oldest), from_canonical(cutoff)
     count = max(1, -(-(end - begin) // window))
-    if count > MOST_SESSIONS:
-        raise ArchiveWindow(reason=f"{count} sessions, more than {MOST_SESSIONS}")
+    if most is not None and count > most:
+        raise ArchiveWindow(reason=f"{count} sessions, more than {most}")
     return [to_canonical(begin + k * window) for k in range(1, count)] + [cutoff]

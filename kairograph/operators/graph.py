@@ -18,7 +18,6 @@ from kairograph.functions.columns import edge_filter, instant, valid_at, weight_
 from kairograph.operators.temporal import Mode, hydrate, resolved_mode
 from kairograph.sources.shared import cut
 
-MOST_ROUNDS = 10_000
 DEFAULT_BYTE_BUDGET = 64 << 20
 
 
@@ -159,7 +158,7 @@ def dijkstra(graph: Subgraph, start: str) -> DataFrame:
     """
     best = frontier = cut(graph.nodes.where(F.col("id") == start).select("id").distinct().withColumn("distance", F.lit(0.0)), "dijkstra")
     ways = graph.edges.groupBy("source_id", "target_id").agg(F.min("weight").alias("weight"))
-    for _ in range(MOST_ROUNDS):
+    while True:
         if frontier.isEmpty():
             return best
         near = (
@@ -170,7 +169,6 @@ def dijkstra(graph: Subgraph, start: str) -> DataFrame:
         better = near.join(best, "id", "left").where(F.col("distance").isNull() | (F.col("near") < F.col("distance")))
         frontier = cut(better.select("id", F.col("near").alias("distance")), "dijkstra")
         best = cut(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "dijkstra")
-    raise RuntimeError("distances did not settle")
 
 
 def shortest_path(graph: Subgraph, start: str, goal: str, heuristic: Callable[[Column], Column] | None = None) -> tuple[float, list[str]] | None:
@@ -187,7 +185,7 @@ def shortest_path(graph: Subgraph, start: str, goal: str, heuristic: Callable[[C
     ways = graph.edges.groupBy("source_id", "target_id").agg(F.min("weight").alias("weight"))
     best = frontier = cut(graph.nodes.where(F.col("id") == start).select("id").distinct().withColumn("distance", F.lit(0.0)), "path")
     cost = 0.0 if start == goal else float("inf")
-    for _ in range(MOST_ROUNDS):
+    while True:
         if frontier.isEmpty():
             break
         near = frontier.join(ways, frontier["id"] == ways["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("near"))
@@ -218,7 +216,7 @@ def components(graph: Subgraph) -> DataFrame:
     """``id, root``: weakly connected components, named by their smallest id."""
     both = graph.edges.select("source_id", "target_id").union(graph.edges.select("target_id", "source_id")).toDF("a", "b").where("a != b").distinct()
     label = cut(graph.nodes.select("id", F.col("id").alias("root")), "components")
-    for _ in range(MOST_ROUNDS):
+    while True:
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("root").alias("near"))
         hop = label.join(near, label["id"] == near["a"], "left").select("id", F.least("root", F.coalesce("near", "root")).alias("low"), F.col("root").alias("was"))
         # a node also takes the label of its label, which halves long chains
@@ -227,12 +225,11 @@ def components(graph: Subgraph) -> DataFrame:
         label = new.select("id", "root")
         if new.where("root != was").isEmpty():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def _spread(label: DataFrame, ways: DataFrame) -> DataFrame:
     """Least label that reaches each node along ``ways`` (a, b) without leaving the nodes of ``label`` (id, part, mark)."""
-    for _ in range(MOST_ROUNDS):
+    while True:
         inside = ways.join(label, ways["a"] == label["id"]).select("b", F.col("part").alias("_part"), "mark")
         near = inside.groupBy("b", "_part").agg(F.min("mark").alias("near"))
         new = cut(
@@ -242,7 +239,6 @@ def _spread(label: DataFrame, ways: DataFrame) -> DataFrame:
         label = new.select("id", "part", "mark")
         if new.where("mark != was").isEmpty():
             return label
-    raise RuntimeError("labels did not settle")
 
 
 def scc(graph: Subgraph) -> DataFrame:
@@ -256,7 +252,7 @@ def scc(graph: Subgraph) -> DataFrame:
     ways = cut(graph.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a != b").distinct(), "scc")
     left = cut(graph.nodes.select("id", F.lit("").alias("part")), "scc")
     done = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         own = left.select("id", "part")
         inner = ways.join(own, ways["a"] == own["id"]).select("a", "b", F.col("part").alias("_p"))
         inner = cut(inner.join(own, (inner["b"] == own["id"]) & (inner["_p"] == own["part"])).select("a", "b"), "scc")
@@ -277,20 +273,18 @@ def scc(graph: Subgraph) -> DataFrame:
         done = found if done is None else done.unionByName(found)
         if left.isEmpty():
             return done
-    raise RuntimeError("components did not settle")
 
 
 def k_core(graph: Subgraph, k: int) -> DataFrame:
     """``id`` of the largest node set in which each node has ``k`` edge ends or more."""
     nodes, edges = graph.nodes.select("id"), graph.edges.select("source_id", "target_id", "weight")
-    for _ in range(MOST_ROUNDS):
+    while True:
         few = Subgraph(nodes, edges).degrees().where(F.col("degree") < k)
         small = cut(few.select("id"), "core")
         if small.isEmpty():
             return nodes
         nodes = cut(nodes.join(small, "id", "left_anti"), "core")
         edges = cut(closed(nodes, edges), "core")
-    raise RuntimeError("core did not settle")
 
 
 def modularity(graph: Subgraph, partition: DataFrame) -> DataFrame:

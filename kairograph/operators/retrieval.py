@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairograph.errors import DimMismatch
 from kairograph.functions.columns import cosine_distance, tokens
 from kairograph.plans.planner import CostEstimate, CostEstimator, Strategy
+from kairograph.sources.shared import cut
 
 RRF_K = 60
 #: Okapi's constants.
@@ -46,19 +48,47 @@ def keyword_search(index: DataFrame, concepts: DataFrame, query: str, k: int, k1
     terms = spark.range(1).select(F.array_distinct(tokens(F.lit(query))).alias("t")).first()["t"]
     if not terms or k <= 0:
         return concepts.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    # concepts without words have no postings, but count
-    stats = index.select("id", "length").distinct().agg(F.sum("length").alias("total")).first()
+    # concepts without words have no postings, but count; the lengths add up to the terms' frequencies
+    total = index.agg(F.sum("tf")).first()[0] or 0
     n = concepts.count()
-    mean = (stats["total"] or 0) / n
     own = index.where(F.col("term").isin(terms))
-    seen = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = own.join(F.broadcast(seen), "term").groupBy("id").agg(F.sum(part).alias("_s"), F.count(F.lit(1)).alias("_n"))  # a row a query word
+    seen = {r["term"]: r["df"] for r in own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row a query word
+    if len(seen) < len(terms):
+        return concepts.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    idf = F.create_map(*[F.lit(x) for t, df in seen.items() for x in (t, _idf(n, df))])
+    scored = own.groupBy("id").agg(F.sum(_part(idf[F.col("term")], "tf", total / n, k1, b)).alias("_s"), F.count(F.lit(1)).alias("_n"))
     live = concepts.where("not retired").select("id")
     return scored.where(F.col("_n") == len(terms)).join(live, "id", "left_semi").select("id", (-F.col("_s")).alias("score")).orderBy("score", "id").limit(k)
 
 
+def _idf(n: int, df: int) -> float:
+    return math.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def _part(idf: Column, tf: str | Column, mean: float, k1: float, b: float) -> Column:
+    tf = F.col(tf) if isinstance(tf, str) else tf
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean))
+
+
+def keyword_scan(concepts: DataFrame, query: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """:func:`keyword_search` where there is no index: the texts are read once, and only counts of the query's words are kept."""
+    spark = concepts.sparkSession
+    terms = spark.range(1).select(F.array_distinct(tokens(F.lit(query))).alias("t")).first()["t"]
+    if not terms or k <= 0:
+        return concepts.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    words = concepts.select("id", "retired", tokens(F.concat_ws(" ", "title", "content")).alias("_t"))
+    times = lambda term: F.size(F.filter("_t", lambda w: w == term)).alias(f"tf{terms.index(term)}")
+    counts = cut(words.select("id", "retired", F.size("_t").alias("length"), *[times(t) for t in terms]), "keywords")
+    tf = [F.col(f"tf{i}") for i in range(len(terms))]
+    got = counts.agg(F.count(F.lit(1)), F.sum("length"), *[F.sum((x > 0).cast("long")) for x in tf]).first()
+    n, total, seen = got[0], got[1], list(got[2:])
+    if not all(seen):
+        return counts.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    score = sum((_part(F.lit(_idf(n, df)), x, total / n, k1, b) for x, df in zip(tf, seen, strict=True)), F.lit(0.0))
+    hits = counts.where(~F.col("retired") & F.least(F.lit(1), *tf).cast("boolean"))
+    return hits.select("id", (-score).alias("score")).orderBy("score", "id").limit(k)
+
+
 def ranked(hits: DataFrame, id_: str = "id") -> DataFrame:
     """``id, rank`` of a list of hits (``score``), from 1; the list is short."""
     own = Window.orderBy("score", id_)
@@ -73,20 +103,24 @@ def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, k: int = RRF_K) -> DataFr
     return both.select(F.coalesce("id", "_id").alias("id"), (part("vector_rank") + part("keyword_rank")).alias("score"), "vector_rank", "keyword_rank")
 
 
-def hybrid_search(vectors: DataFrame, index: DataFrame, concepts: DataFrame, query: list[float], text: str, k: int, depth: int | None = None) -> DataFrame:
-    """Fusion of both arms, each read to ``depth`` (5 k, 50 at least)."""
+def hybrid_search(vectors: DataFrame, index: DataFrame | None, concepts: DataFrame, query: list[float], text: str, k: int, depth: int | None = None) -> DataFrame:
+    """Fusion of both arms, each read to ``depth`` (5 k, 50 at least); without an ``index`` the texts are scanned."""
     depth = max(5 * k, 50) if depth is None else depth
     near = ranked(search_vector(vectors, query, depth), "concept_id")
-    words = ranked(keyword_search(index, concepts, text, depth))
+    words = ranked(keyword_scan(concepts, text, depth) if index is None else keyword_search(index, concepts, text, depth))
     return reciprocal_rank_fusion(near, words).orderBy(F.desc("score"), "id").limit(k)
 
 
 @dataclass(frozen=True)
 class FilteredSearch:
-    """Nearest vectors among the nodes that a traversal reaches."""
+    """Nearest vectors among the nodes that a traversal reaches.
+
+    With a ``byte_budget`` more candidates than fit are refused; by default
+    they are joined, however many they are.
+    """
 
     k: int
-    byte_budget: int = 64 << 20
+    byte_budget: int | None = None
     strategy: Strategy | None = None
 
     def within(self, **changes) -> FilteredSearch:

@@ -44,21 +44,18 @@ def as_of_edges(current: DataFrame, ts: str) -> DataFrame:
     return current.where(valid_at(instant(ts))).select(*BELIEF_KEY, "valid_to")
 
 
-def as_of_many(current: DataFrame, instants: DataFrame, bucket_days: int = 30) -> DataFrame:
+def as_of_many(current: DataFrame, instants: DataFrame) -> DataFrame:
     """Edges valid at each of many instants (``ts``): an as-of join on buckets of time.
 
-    An interval goes to each bucket it touches, at the level (of two, 64 to
-    one) at which these are few, so the join is on equality.
+    Buckets of an interval are as wide as it is long, rounded up to a power of
+    two of microseconds, so it touches two or three, whether it is closed or
+    open; an instant goes to a bucket of each width, so the join is on equality.
     """
-    span = bucket_days * 86400
-    spot = lambda c, width: F.floor(F.unix_timestamp(c) / width).cast("long")
-    last = F.least(F.col("valid_to"), F.lit("2200-01-01").cast("timestamp"))
-    long = spot(last, span) - spot(F.col("valid_from"), span) > 64
-    width = F.when(long, span * 64).otherwise(span)
-    placed = current.where("valid_from < valid_to").withColumns({"_level": F.when(long, 1).otherwise(0), "_w": width})
-    placed = placed.withColumn("_k", F.explode(F.sequence(spot(F.col("valid_from"), F.col("_w")), F.greatest(spot(last, F.col("_w")), spot(F.col("valid_from"), F.col("_w"))))))
-    asked = instants.select("ts").distinct().withColumn("_level", F.explode(F.array(F.lit(0), F.lit(1))))
-    asked = asked.withColumn("_k", spot(F.col("ts"), F.when(F.col("_level") == 1, span * 64).otherwise(span)))
+    start, end = F.unix_micros("valid_from"), F.unix_micros("valid_to")
+    placed = current.where("valid_from < valid_to").withColumns({"_a": start, "_b": end}).withColumn("_level", F.ceil(F.log2(F.col("_b") - F.col("_a"))).cast("int"))
+    placed = placed.withColumn("_k", F.explode(F.expr("sequence(shiftright(_a, _level), shiftright(_b - 1, _level))"))).drop("_a", "_b")
+    asked = instants.select("ts").distinct().withColumn("_level", F.explode(F.expr("sequence(0, 62)")))
+    asked = asked.withColumn("_k", F.expr("shiftright(unix_micros(ts), _level)"))
     return placed.join(asked, ["_level", "_k"]).where(valid_at(F.col("ts"))).select("ts", *BELIEF_KEY, "valid_to")
 
 
@@ -76,9 +73,7 @@ def newest_log_rows(log: DataFrame, ts: str | None = None, after_seq: int | None
 
 def check_payloads(newest: DataFrame) -> None:
     """Raise for a winning row that can't be replayed; reads one offending row at most."""
-    version = F.coalesce(F.get_json_object("payload", "$.v").cast("int"), F.lit(1))
-    bad = newest.select("seq_id", "operation", version.alias("v")).where((F.col("operation") == "D") | (F.col("v") > PAYLOAD_VERSION))
-    row = bad.orderBy("seq_id").first()
+    row = _unreadable(newest).orderBy("seq_id").first()
     if row is None:
         return
     if row["operation"] == "D":
@@ -86,6 +81,11 @@ def check_payloads(newest: DataFrame) -> None:
     raise PayloadVersion(got=row["v"], max=PAYLOAD_VERSION)
 
 
+def _unreadable(rows: DataFrame) -> DataFrame:
+    version = F.coalesce(F.get_json_object("payload", "$.v").cast("int"), F.lit(1))
+    return rows.select("seq_id", "operation", version.alias("v")).where((F.col("operation") == "D") | (F.col("v") > PAYLOAD_VERSION))
+
+
 def concept_rows(newest: DataFrame) -> DataFrame:
     """``id, title, content, embedding_model, retired`` of the log rows of concepts."""
     rows = newest.where("table_name = 'concepts'").withColumn("p", F.from_json("payload", CONCEPT_PAYLOAD))
@@ -162,6 +162,9 @@ def reconstruct(log: DataFrame, ts: str, cold_log: DataFrame | None = None, base
     if got is Reach.NEEDS_ARCHIVE and cold_log is None:
         raise ReplayNeedsArchive(timestamp=ts, hint=archive_hint(log))
     rows = log.unionByName(cold_log) if got is Reach.NEEDS_ARCHIVE else log
+    after = None if base is None else anchor
+    if not _unreadable(rows).isEmpty():  # a scan; which rows win is only asked where one can't be read
+        check_payloads(newest_log_rows(rows, ts, after_seq=after))
     concepts, edges = fold_log(rows, ts) if base is None else compose(base, rows, ts, anchor)
     return concepts, edges, Meta(ts, anchor, got is Reach.PREDATES_RECORDED_HISTORY)
 

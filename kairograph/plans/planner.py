@@ -30,7 +30,7 @@ class CostEstimate:
 class CostEstimator:
     """Prices both strategies in bytes; ``corpus`` vectors of ``vector_bytes`` each."""
 
-    byte_budget: int
+    byte_budget: int | None
     corpus: int
     vector_bytes: int
 
@@ -42,7 +42,7 @@ class CostEstimator:
 
     def estimate(self, k: int, candidates: int) -> CostEstimate:
         ids = candidates * ID_BYTES
-        if ids > self.byte_budget:
+        if self.byte_budget is not None and ids > self.byte_budget:
             raise SubgraphTooLarge(n=ids, budget=self.byte_budget)
         depth = self.k_prime(k, candidates)
         row = self.vector_bytes + ROW_BYTES

@@ -17,6 +17,8 @@ LINK_CUTOFF = "1998-06-01T00:00:00.000000Z"
 LOG_CUTOFF = "2024-01-20T00:00:00.000000Z"
 ANCHOR = "2024-01-10T00:00:00.000000Z"
 NOW = "2020-01-01T00:00:00.000000Z"
+#: Edge ends that a node of the core has at least.
+CORE = 24
 
 _all: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -120,9 +122,9 @@ def j05_superseded_assertions(d: Data) -> DataFrame:
 
 @_query
 def j06_unnamed_concepts(d: Data) -> DataFrame:
-    ends = d.supply().where("weight > 45")
+    ends = d.supply()
     named = ends.select(F.col("source_id").alias("id")).union(ends.select("target_id")).distinct()
-    return d.trade_concepts().join(named, "id", "left_anti").select("id")
+    return d.all_concepts().join(named, "id", "left_anti").select("id")
 
 
 @_query
@@ -136,6 +138,7 @@ def j10_overlapping_intervals(d: Data) -> DataFrame:
 @_query
 def j11_as_of_join(d: Data) -> DataFrame:
     days = d.table("events").select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts")).distinct()
+    days = days.union(d.spark.range(1).select(F.lit("2300-01-01T00:00:00Z").cast("timestamp")))
     return temporal.as_of_many(d.intervals(), days).groupBy(formatted("ts").alias("ts")).agg(F.count(F.lit(1)).alias("edges"))
 
 
@@ -180,16 +183,22 @@ def t03_reconstruct_concepts(d: Data) -> DataFrame:
     return temporal.fold_log(d.log(), INSTANT)[0].select("id", "title", "content")
 
 
-def _link_log(d: Data) -> DataFrame:
-    """The supply assertions as log rows."""
-    a = d.assertions()
+def _link_log(a: DataFrame) -> DataFrame:
+    """Assertions as log rows."""
     payload = F.to_json(F.struct(F.lit(1).alias("v"), "source_id", "target_id", "edge_type", formatted("valid_from").alias("valid_from"), formatted("valid_to").alias("valid_to"), "weight"))
     return a.select(F.unix_micros("recorded_at").alias("seq_id"), F.lit("links").alias("table_name"), edge_key().alias("entity_id"), F.lit("I").alias("operation"), payload.alias("payload"), "recorded_at")
 
 
 @_query
 def t03_reconstruct_edges(d: Data) -> DataFrame:
-    return _texts(temporal.fold_log(_link_log(d), LINK_CUTOFF)[1], "valid_from", "valid_to")
+    return _texts(temporal.fold_log(_link_log(d.assertions()), LINK_CUTOFF)[1], "valid_from", "valid_to")
+
+
+@_query
+def t03_edges_before_1970(d: Data) -> DataFrame:
+    """The supply assertions, valid 35 years before they were recorded."""
+    early = d.assertions().withColumn("valid_from", F.date_trunc("day", F.col("recorded_at")) - F.expr("interval 12784 days"))
+    return _texts(temporal.link_rows(temporal.newest_log_rows(_link_log(early))), "valid_from", "valid_to")
 
 
 @_query
@@ -240,8 +249,8 @@ def t15_log_archivable(d: Data) -> DataFrame:
 
 @_query
 def t16_concepts_archivable(d: Data) -> DataFrame:
-    ended = d.trade_concepts().withColumn("valid_to", F.when(F.col("retired"), instant("1997-01-01T00:00:00Z")).otherwise(F.col("valid_to")))
-    links = d.assertions().where("weight > 40")
+    ended = d.all_concepts().withColumn("valid_to", F.when(F.col("retired"), instant("1997-01-01T00:00:00Z")).otherwise(F.col("valid_to")))
+    links = d.assertions()
     return archive.archivable_concepts(ended, links, LINK_CUTOFF).select("id")
 
 
@@ -276,6 +285,11 @@ def g01_walk(d: Data) -> DataFrame:
     return graph.walk(start, graph.valid_edges(d.both_ways(), NOW, 30.0), 3)
 
 
+@_query
+def g01_walk_unthinned(d: Data) -> DataFrame:
+    return graph.walk(d.trade_concepts().where("id = 's1'"), graph.valid_edges(d.both_ways(), NOW), 3)
+
+
 @_query
 def g02_traverse_ids(d: Data) -> DataFrame:
     how = graph.Traversal(max_depth=2, edge_types=("SUPPLIES", "SUPPLIEDBY"), min_weight=49.0)
@@ -318,9 +332,12 @@ def g10_dijkstra_cyclic(d: Data) -> DataFrame:
 
 @_query
 def g11_shortest_path(d: Data) -> DataFrame:
+    """From a region to the last order below it, and back, where no way leads."""
     nodes = d.places().select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    found = graph.shortest_path(graph.Subgraph(nodes, d.places()), "r1", d.places().where("edge_type = 'HASNATION' and source_id = 'r1'").agg(F.min("target_id")).first()[0])
-    return d.spark.createDataFrame([(found[0], ",".join(found[1]))], "cost double, path string")
+    whole = graph.Subgraph(nodes, d.places())
+    goal = graph.walk(nodes.where("id = 'r1'"), d.places(), 3).where("id like 'o%'").agg(F.max("id")).first()[0]
+    rows = [(a, b, *(graph.shortest_path(whole, a, b) or (None, None))) for a, b in (("r1", goal), (goal, "r1"))]
+    return d.spark.createDataFrame([(a, b, cost, path and ",".join(path)) for a, b, cost, path in rows], "start string, goal string, cost double, path string")
 
 
 def _ring(d: Data) -> graph.Subgraph:
@@ -343,7 +360,20 @@ def g12_scc(d: Data) -> DataFrame:
 
 @_query
 def g13_k_core(d: Data) -> DataFrame:
-    return graph.k_core(graph.Subgraph(d.trade_concepts(), d.supply().where("weight >= 40")), 6)
+    return graph.k_core(_trade(d), CORE)
+
+
+@_query
+def g12_scc_supply(d: Data) -> DataFrame:
+    """Supply both ways, which hangs together, and parts that nobody supplies."""
+    return graph.scc(graph.Subgraph(d.trade_concepts(), d.both_ways()))
+
+
+@_query
+def g12_scc_places(d: Data) -> DataFrame:
+    """A forest: every node is a component."""
+    nodes = d.places().select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    return graph.scc(graph.Subgraph(nodes, d.places()))
 
 
 @_query
@@ -364,6 +394,13 @@ def weak_components(d: Data) -> DataFrame:
     return graph.components(_ring(d))
 
 
+@_query
+def weak_components_places(d: Data) -> DataFrame:
+    """A tree for each region, named by its smallest node."""
+    nodes = d.places().select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    return graph.components(graph.Subgraph(nodes, d.places()))
+
+
 @_query
 def m06_g16_annotations(d: Data) -> DataFrame:
     g = graph.Subgraph(d.trade_concepts(), d.supply())
@@ -385,13 +422,12 @@ def f09_distances(d: Data) -> DataFrame:
 
 @_query
 def f08_tokens(d: Data) -> DataFrame:
-    return d.table("documents").select("doc_id", F.size(tokens(F.regexp_replace("text", "[^\\x00-\\x7F]", " "))).cast("long").alias("n"))
+    return d.table("documents").select("doc_id", F.size(tokens("text")).cast("long").alias("n"))
 
 
 @_query
 def v05_f10_keyword_search(d: Data) -> DataFrame:
-    docs = d.documents().withColumn("content", F.regexp_replace("content", "[^\\x00-\\x7F]", " "))
-    hits = retrieval.keyword_search(retrieval.postings(docs), docs, "The, ING!", 50)
+    hits = retrieval.keyword_scan(d.documents(), "The, ING!", 50)
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
@@ -404,8 +440,7 @@ def v07_rank_fusion(d: Data) -> DataFrame:
 
 @_query
 def v08_hybrid_search(d: Data) -> DataFrame:
-    docs = d.documents().withColumn("content", F.regexp_replace("content", "[^\\x00-\\x7F]", " "))
-    found = retrieval.hybrid_search(d.vectors(), retrieval.postings(docs), docs, d.vector(1), "the of", 10)
+    found = retrieval.hybrid_search(d.vectors(), None, d.documents(), d.vector(1), "the of", 10)
     return found.select("id", F.round("score", 9).alias("score"), F.col("vector_rank").cast("long").alias("vector_rank"), F.col("keyword_rank").cast("long").alias("keyword_rank"))
 
 
@@ -451,8 +486,10 @@ def m14_unknown_ends(d: Data) -> DataFrame:
 
 @_query
 def i02_rebuild_current(d: Data) -> DataFrame:
-    """Current belief of the log against that of the assertions: nothing differs."""
+    """Current belief of the log against that of the assertions: how many there are, how many are open, how many differ."""
     links = d.assertions()
     told = temporal.latest_belief(links).select("source_id", "target_id", "edge_type", "valid_from", "valid_to")
-    replayed = temporal.link_rows(temporal.newest_log_rows(_link_log(d)))
-    return told.subtract(replayed).unionByName(replayed.subtract(told)).agg(F.count(F.lit(1)).alias("drift"))
+    replayed = temporal.link_rows(temporal.newest_log_rows(_link_log(d.assertions())))
+    sides = told.withColumn("_s", F.lit(1)).unionByName(replayed.withColumn("_s", F.lit(2)))
+    both = sides.groupBy("source_id", "target_id", "edge_type", "valid_from", "valid_to").agg(F.sum("_s").alias("_s"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.sum(is_open().cast("long")).alias("open_rows"), F.sum((F.col("_s") != 3).cast("long")).alias("drift"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairograph.functions.columns import instant
@@ -77,8 +77,17 @@ class Data:
 
     def trade_concepts(self) -> DataFrame:
         """Suppliers and parts as concepts; suppliers in debt and parts of size 13 are retired."""
-        row = lambda df, a, key, title, gone: df.select(F.concat(F.lit(a), F.col(key).cast("string")).alias("id"), F.col(title).alias("title"), F.lit("").alias("content"), F.lit(None).cast("string").alias("embedding_model"), F.lit("1995-01-01T00:00:00Z").cast("timestamp").alias("valid_from"), instant(None).alias("valid_to"), gone.alias("retired"), F.lit("1995-01-01T00:00:00Z").cast("timestamp").alias("recorded_at"))
-        return row(self.table("supplier"), "s", "s_suppkey", "s_name", F.col("s_acctbal") < 0).unionByName(row(self.table("part"), "p", "p_partkey", "p_name", F.col("p_size") == 13))
+        return self._concepts(self.table("supplier"), "s", "s_suppkey", "s_name", F.col("s_acctbal") < 0).unionByName(
+            self._concepts(self.table("part"), "p", "p_partkey", "p_name", F.col("p_size") == 13)
+        )
+
+    def all_concepts(self) -> DataFrame:
+        """Those of the trade, and customers; customers in debt are retired."""
+        return self.trade_concepts().unionByName(self._concepts(self.table("customer"), "c", "c_custkey", "c_name", F.col("c_acctbal") < 0))
+
+    @staticmethod
+    def _concepts(df: DataFrame, a: str, key: str, title: str, gone: Column) -> DataFrame:
+        return df.select(F.concat(F.lit(a), F.col(key).cast("string")).alias("id"), F.col(title).alias("title"), F.lit("").alias("content"), F.lit(None).cast("string").alias("embedding_model"), F.lit("1995-01-01T00:00:00Z").cast("timestamp").alias("valid_from"), instant(None).alias("valid_to"), gone.alias("retired"), F.lit("1995-01-01T00:00:00Z").cast("timestamp").alias("recorded_at"))
 
     def documents(self) -> DataFrame:
         """Documents as concepts; those that are labelled toxic are retired."""

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph import types as T
-from kairograph.errors import DimMismatch, ModelNotRegistered, NotFound, SchemaVersion
-from kairograph.functions.columns import formatted, instant, parsed
+from kairograph.errors import DimMismatch, ModelNotRegistered, NotFound, SchemaVersion, SnapshotIncompatible
+from kairograph.functions.columns import formatted, instant, parsed, reading
 from kairograph.functions.scalars import Clock, check_id, check_model, to_canonical
 from kairograph.operators import archive as arch
 from kairograph.operators import graph, integrity, retrieval, temporal
@@ -51,22 +51,47 @@ class Ledger:
     # commits
 
     def _newest(self) -> dict:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        path = self._path("commits")
+        if not self._fs(path).exists(path):
             return {"n": 0, "schema_version": T.SCHEMA_VERSION, "models": {}, "snapshots": [], "current_of": 0, "postings_at": 0, "files": {t: [] for t in TABLES}}
-        row = self.spark.read.schema("n bigint, state string").json(f"{self.root}/commits/*").orderBy(F.desc("n")).first()
-        return json.loads(row["state"])
+        newest = max(f.getPath().getName() for f in self._fs(path).listStatus(path))
+        return json.loads(self.spark.read.text(f"{self.root}/commits/{newest}").first()["value"])
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _fs(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _delete(self, name: str) -> None:
+        path = self._path(name)
+        self._fs(path).delete(path, True)
+
+    def _publish(self, state: dict) -> None:
+        """The commit's one file, which must not be there yet."""
+        path = self._path(f"commits/{state['n']:09d}.json")
+        out = self._fs(path).create(path, False)
+        try:
+            out.writeBytes(json.dumps(state) + "\n")
+        finally:
+            out.close()
 
     def _commit(self, appended: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, **changes) -> None:
         begun, kind = time.monotonic(), "+".join(sorted([*(appended or {}), *(replaced or {}), *changes]))
         state = json.loads(json.dumps(self._state)) | changes
         state["n"] += 1
+        written: list[str] = []
         for table, df, fresh in [*((t, d, False) for t, d in (appended or {}).items()), *((t, d, True) for t, d in (replaced or {}).items())]:
             name = f"{table}/{state['n']:09d}-{uuid.uuid4().hex[:8]}"
+            written.append(name)
             df.select(*self._fields(table)).write.parquet(f"{self.root}/{name}")
             state["files"][table] = [name] if fresh else [*state["files"][table], name]
-        row = self.spark.createDataFrame([(state["n"], json.dumps(state))], "n bigint, state string")
-        row.coalesce(1).write.mode("error").json(f"{self.root}/commits/{state['n']:09d}")
+        try:
+            self._publish(state)
+        except Exception:
+            for name in written:
+                self._delete(name)
+            raise
         self._state = state
         n, total, longest = self.metrics.get(kind, [0, 0.0, 0.0])
         took = time.monotonic() - begun
@@ -89,7 +114,7 @@ class Ledger:
         return self._state["n"]
 
     def _last_stamp(self) -> str | None:
-        last = self.table("log").agg(formatted(F.max("recorded_at")).alias("t")).first()
+        last = self.table("log").agg(reading(F.max("recorded_at")).alias("t")).first()
         return last["t"]
 
     def close(self) -> None:
@@ -130,12 +155,15 @@ class Ledger:
 
     def rebuild_index(self) -> None:
         """Store the keyword index of the concepts as they are."""
-        self._commit(replaced={"postings": retrieval.postings(self.concepts())}, postings_at=self._state["n"] + 1)
+        self._commit(replaced={"postings": retrieval.postings(self.concepts())}, postings_at=self._state["n"] + 1, postings_of=self._texts())
+
+    def index(self) -> DataFrame | None:
+        """The stored keyword index while no commit of log rows or archived concepts came after it."""
+        fresh = self._state["postings_at"] and self._state.get("postings_of") == self._texts()
+        return self.table("postings") if fresh else None
 
-    def index(self) -> DataFrame:
-        """The stored keyword index while no commit came after it, else one made anew."""
-        fresh = self._state["postings_at"] == self._state["n"]
-        return self.table("postings") if fresh else retrieval.postings(self.concepts())
+    def _texts(self) -> list[str]:
+        return [*self._state["files"]["log"], *self._state["files"]["cold_concepts"]]
 
     def concepts(self) -> DataFrame:
         """Live row of each concept that isn't archived."""
@@ -270,8 +298,8 @@ class Ledger:
 
     def as_of(self, ts: str | dt.datetime | None = None, include_cold: bool = False) -> DataFrame:
         """Edges valid at ``ts`` (None: now) by current belief; those in the cold tier only on demand."""
-        links = self.links().unionByName(self.table("cold_links")) if include_cold else self.links()
-        return temporal.as_of_edges(temporal.latest_belief(links), self.clock.now() if ts is None else to_canonical(ts))
+        told = temporal.latest_belief(self.links().unionByName(self.table("cold_links"))) if include_cold else self.current()
+        return temporal.as_of_edges(told, self.clock.now() if ts is None else to_canonical(ts))
 
     def _cold(self) -> DataFrame | None:
         return self.table("cold_log") if self._state["files"]["cold_log"] else None
@@ -283,6 +311,8 @@ class Ledger:
         if not fit:
             return temporal.reconstruct(self.log(), ts, self._cold())
         best = max(fit, key=lambda s: s["seq"])
+        if best.get("schema_version") != T.SCHEMA_VERSION:
+            raise SnapshotIncompatible(path=best["path"], reason=f"schema {best.get('schema_version')}, not {T.SCHEMA_VERSION}")
         base = tuple(self.spark.read.parquet(f"{self.root}/{best['path']}/{part}") for part in ("concepts", "edges"))
         return temporal.reconstruct(self.log(), ts, self._cold(), base, best["seq"])
 
@@ -297,7 +327,11 @@ class Ledger:
         concepts.write.parquet(f"{self.root}/{path}/concepts")
         edges.write.parquet(f"{self.root}/{path}/edges")
         others = [s for s in self._state["snapshots"] if s["seq"] != seq]
-        self._commit(snapshots=retained([*others, {"seq": seq, "timestamp": ts, "path": path}]))
+        kept = retained([*others, {"seq": seq, "timestamp": ts, "path": path, "schema_version": T.SCHEMA_VERSION}])
+        gone = {s["path"] for s in self._state["snapshots"]} - {s["path"] for s in kept}
+        self._commit(snapshots=kept)
+        for name in gone:
+            self._delete(name)
 
     def maybe_snapshot(self, every: int = 10_000) -> bool:
         """Store a snapshot if ``every`` log rows came since the last one."""
@@ -367,7 +401,7 @@ class Ledger:
         ids = self.spark.createDataFrame([(i,) for i in start], "id string")
         return graph.traverse(how, ids, self.current(), self.concepts(), self.log(), self.clock.now())
 
-    def load_subgraph(self, start: Iterable[str], how: graph.Traversal | None = None, budget: int | None = graph.DEFAULT_BYTE_BUDGET) -> graph.Subgraph:
+    def load_subgraph(self, start: Iterable[str], how: graph.Traversal | None = None, budget: int | None = None) -> graph.Subgraph:
         ids = self.spark.createDataFrame([(i,) for i in start], "id string")
         return graph.load_subgraph(how or graph.Traversal(min_weight=None), ids, self.current(), self.concepts(), self.clock.now(), budget)
 
@@ -375,8 +409,8 @@ class Ledger:
         return retrieval.search_vector(self.embeddings(model), query, k)
 
     def keyword_search(self, text: str, k: int) -> DataFrame:
-        concepts = self.concepts()
-        return retrieval.keyword_search(self.index(), concepts, text, k)
+        index, concepts = self.index(), self.concepts()
+        return retrieval.keyword_scan(concepts, text, k) if index is None else retrieval.keyword_search(index, concepts, text, k)
 
     def hybrid_search(self, model: str, query: list[float], text: str, k: int, depth: int | None = None) -> DataFrame:
         concepts = self.concepts()

@@ -311,3 +311,81 @@ def test_stored_current_belief_follows_and_can_be_rebuilt(book):
     ledger.archive(DAY.format(9))
     ledger.audit()
     assert ledger.current().count() == 2 and ledger.metrics["links+log"][0] >= 2
+
+
+def test_edges_from_before_1970_stay_apart(book):
+    ledger, clock = book
+    rows = [EdgeAssertion("a", "b", "KNOWS", f"{y}-01-01T00:00:00.000000Z", f"{y + 5}-01-01T00:00:00.000000Z") for y in (1950, 1960)]
+    ledger.assert_edges(rows)
+    edges = ledger.reconstruct(DAY.format(9))[1].withColumns({c: formatted(c) for c in ("valid_from", "valid_to")}).collect()
+    assert sorted((r.valid_from[:4], r.valid_to[:4]) for r in edges) == [("1950", "1955"), ("1960", "1965")]
+    assert ledger.as_of("1962-01-01T00:00:00Z").count() == 1
+
+
+def test_instants_far_ahead_see_open_edges(book, spark):
+    from kairograph.operators import temporal
+
+    ledger, _ = book
+    ledger.assert_edges([edge("a", "b"), edge("b", "c", 1, 3), edge("a", "c", 2, 3)])
+    asked = spark.sql("SELECT CAST(t AS timestamp) AS ts FROM VALUES ('2300-01-01'), ('2026-01-02'), ('2026-01-03'), ('1900-01-01'), ('9999-12-31') AS v(t)")
+    got = sorted((str(r.ts)[:10], r.source_id, r.target_id) for r in temporal.as_of_many(ledger.current(), asked).collect())
+    assert got == [("2026-01-02", *p) for p in (("a", "b"), ("a", "c"), ("b", "c"))] + [(d, "a", "b") for d in ("2026-01-03", "2300-01-01", "9999-12-31")]
+
+
+def test_a_log_that_cannot_be_read_is_refused(book, spark):
+    from kairograph.operators import temporal
+
+    ledger, _ = book
+    log = ledger.log()
+    newer = log.where("seq_id = 1").withColumns({"seq_id": F.lit(9).cast("long"), "payload": F.lit('{"v": 9}')})
+    with pytest.raises(E.PayloadVersion):
+        temporal.reconstruct(log.unionByName(newer), DAY.format(9))
+    gone = newer.withColumns({"operation": F.lit("D"), "payload": F.lit("{}")})
+    with pytest.raises(E.ReplayCorrupt):
+        temporal.reconstruct(log.unionByName(gone), DAY.format(9))
+    # one that a later row replaces isn't read
+    later = log.where("seq_id = 1").withColumn("seq_id", F.lit(10).cast("long"))
+    assert temporal.reconstruct(log.unionByName(newer).unionByName(later), DAY.format(9))[0].count() == 3
+
+
+def test_keyword_search_without_texts_and_by_scan(spark, tmp_path):
+    from kairograph.operators import retrieval
+
+    empty = Ledger(spark, str(tmp_path / "none"), FakeClock(DAY.format(5)))
+    assert empty.keyword_search("word", 5).count() == 0
+    empty.rebuild_index()
+    assert empty.keyword_search("word", 5).count() == 0
+    rows = [("a", "Été", "l'école est là, là", False), ("b", "", "École école", False), ("c", "école", "", True), ("d", None, None, False)]
+    concepts = spark.createDataFrame(rows, "id string, title string, content string, retired boolean")
+    by = [retrieval.keyword_search(retrieval.postings(concepts), concepts, q, 5).collect() for q in ("ÉCOLE", "là école", "nothing")]
+    scan = [retrieval.keyword_scan(concepts, q, 5).collect() for q in ("ÉCOLE", "là école", "nothing")]
+    assert [[(r.id, round(r.score, 9)) for r in x] for x in by] == [[(r.id, round(r.score, 9)) for r in x] for x in scan]
+    assert [[r.id for r in x] for x in scan] == [["b", "a"], ["a"], []]
+
+
+def test_a_snapshot_of_another_schema_is_refused_and_old_ones_are_deleted(book):
+    import os
+
+    ledger, clock = book
+    paths = []
+    for k in range(8):
+        clock.set(DAY.format(6) if k == 0 else f"2026-01-06T0{k}:00:00.000000Z")
+        ledger.write_concepts([ConceptUpsert("a", f"title {k}")])
+        assert ledger.maybe_snapshot(every=1)
+        paths = [s["path"] for s in ledger._state["snapshots"]]
+    assert len(paths) == 5 and sorted(os.listdir(f"{ledger.root}/snapshots")) == sorted(p.split("/")[1] for p in paths)
+    ledger._state["snapshots"][-1]["schema_version"] = 99
+    with pytest.raises(E.SnapshotIncompatible):
+        ledger.reconstruct(DAY.format(9))
+
+
+def test_a_failed_commit_leaves_no_files(book, spark):
+    import os
+
+    ledger, _ = book
+    other = Ledger(spark, ledger.root, FakeClock(DAY.format(6)))
+    ledger.write_concepts([ConceptUpsert("z", "Z")])
+    before = sorted(os.listdir(f"{ledger.root}/log"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        other.write_concepts([ConceptUpsert("y", "Y")])
+    assert sorted(os.listdir(f"{ledger.root}/log")) == before
