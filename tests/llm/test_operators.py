@@ -539,16 +539,38 @@ def test_all_labelled_rows_count_whatever_the_classifier_is_fitted_on(spark, mon
     more = [(i, docs[i - 10_000][1].replace("schimpf", "w") + " raregift", 1) for i in rare]
     frame = spark.createDataFrame([d[:2] for d in docs + more], "doc_id long, text string")
     labels += [(i, 1) for i in rare if fold(i) == 0]
-    known, terms = [], []
+    voted, terms = [], []
     model, learn = toxicity.label_model, toxicity.learned_terms
-    monkeypatch.setattr(toxicity, "label_model", lambda votes: known.append(votes.where("toxic is not null").count()) or model(votes))
+    monkeypatch.setattr(toxicity, "label_model", lambda votes: voted.append((votes.count(), votes.columns)) or model(votes))
     monkeypatch.setattr(toxicity, "learned_terms", lambda *a: terms.append(learn(*a)) or terms[-1])
     got = toxicity.scored(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), fit_rows=30).collect()
     assert len(got) == len(docs) + len(more)
-    assert known == [sum(fold(i) == 2 for i, _ in labels)]
+    assert voted == [(len(got), ["doc_id", "text_key", "votes", "features"])]
     assert {"raregift", "^raregif"} <= set(terms[0])
 
 
+def test_label_model_is_that_of_whole_arrays(spark):
+    """EM over one array: classes by their mean votes, one covariance for both, no labels."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(3000) < 0.15
+    m = len(toxicity.voter_names())
+    rates = np.where(truth[:, None], rng.random(m) * 0.8, rng.random(m) * 0.05)
+    votes = (rng.random((3000, m)) < rates).astype(float)
+    votes[:, 1] = votes[:, 0]  # two that always vote together
+    weights, bias = np.ones(m), -2.5
+    for _ in range(toxicity.EM_ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(votes @ weights + bias, -30, 30)))
+        a, b = p @ votes / p.sum(), (1 - p) @ votes / (1 - p).sum()
+        cov = sum((w[:, None] * (votes - c)).T @ (votes - c) for w, c in ((p, a), (1 - p, b))) / len(votes)
+        cov += np.eye(m) * (0.02 + 1 / len(votes))
+        weights = np.linalg.solve(cov, a - b)
+        bias = -0.5 * (a + b) @ weights + np.log(p.sum() / (1 - p).sum())
+    frame = spark.createDataFrame([(v.tolist(),) for v in votes], "votes array<double>").repartition(3)
+    got, got_bias = toxicity.label_model(frame)
+    assert np.allclose(got, weights, rtol=1e-6, atol=1e-8) and math.isclose(got_bias, bias, rel_tol=1e-6)
+    assert ((toxicity.posterior(votes, got, got_bias) > 0.5) == truth).mean() > 0.97
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels = toxic_rows(400)
     frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
