@@ -451,7 +451,7 @@ def test_token_counts(odd, none):
 # top-k
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vecs = [(i, (rng.normal(size=16) * rng.choice([0.1, 1, 3])).astype(np.float32).tolist()) for i in range(700)]
     vecs[10] = (10, None)
@@ -459,19 +459,35 @@ def test_top_k(spark):
     vecs[30] = (30, [None] * 16)
     vecs[40] = (40, vecs[41][1])
     vecs[50] = (50, [float("inf")] + [0.0] * 15)
+    vecs[60] = (60, [0.0] * 16)
+    vecs += [vecs[70], vecs[70], (80, vecs[81][1]), (90, [0.0] * 16), (5, vecs[70][1]), (None, vecs[71][1])]
     df = spark.createDataFrame([(*v, "c") for v in vecs], "vec_id long, embedding array<float>, score string").repartition(5)
-    got = [tuple(r) for r in topk.top_k(df, every=10, k=5, block=16, head=32).orderBy("query_id", "rank").collect()]
-    ok = {i: np.floor(256 * np.array(v, np.float64)).astype(int) for i, v in vecs if v is not None and None not in v and np.isfinite(v).all()}
+    ok = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v in vecs if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = []
-    for q in sorted(i for i in ok if i % 10 == 0):
-        best = sorted(((-int(ok[q] @ ok[i]), i) for i in ok if i != q))[:5]
-        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
-    assert got == want
+    for at, (q, x) in enumerate(ok):
+        if q % 10 == 0:
+            best = sorted((-int(x @ y), i) for k, (i, y) in enumerate(ok) if k != at)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    blocks = topk.in_blocks
+    monkeypatch.setattr(topk, "in_blocks", lambda *a: blocks(*a, rows=32))
+    for group in (16, 1000):
+        assert as_counts(topk.top_k(df, every=10, k=5, group=group).collect()) == as_counts(want)
     assert topk.top_k(df.where("false")).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 65536)]
 
 
+def test_short_blocks_are_not_read(spark, monkeypatch):
+    """Vectors along one line: after the first block every other one is out of reach."""
+    rows = [(i, [float(2000 - i), 0.0, 1.0]) for i in range(2000)]
+    seen = []
+    blocks = topk.in_blocks
+    monkeypatch.setattr(topk, "in_blocks", lambda *a: seen.append(blocks(*a, rows=50)) or seen[-1])
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.count() == 200 and {r.vec_id for r in got.collect()} <= set(range(6))
+    assert seen[0].count() >= 40 and seen[0].where(F.col("top") >= 256 * 1995).count() <= 2
+
+
 # language model
 
 
