@@ -63,13 +63,20 @@ def bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
     return spark.table(name)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what :func:`stored` and :func:`bucketed` wrote; call it when the results have been written elsewhere."""
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+def written() -> tuple[int, int]:
+    """How much :func:`stored` and :func:`bucketed` have written so far, for :func:`release`."""
+    return len(_written), len(_tables)
+
+
+def release(spark: SparkSession, since: tuple[int, int] = (0, 0), keep: int = 0) -> None:
+    """Delete what was written after ``since``, but for the last ``keep``; call it when the results have been written elsewhere."""
+    files, tables = _written[since[0] : len(_written) - keep], _tables[since[1] :]
+    del _written[since[0] : len(_written) - keep], _tables[since[1] :]
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for at in files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(conf).delete(path, True)
 
 

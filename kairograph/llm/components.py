@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from kairograph.llm.common import stored
 
-MOST_ROUNDS = 60
-
 
 def _forest(batches):
     """Of a partition's edges those that join two trees; what it keeps in memory is one number a node."""
@@ -58,11 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.mapInPandas(_forest, "a bigint, b bigint"), "components")
     sign = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         now = stored(_star(_star(now, True), False), "components")
         last, sign = sign, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == last:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a"), F.col("a")).distinct())

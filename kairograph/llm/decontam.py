@@ -266,7 +266,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with their columns."""
+    """The rows of ``docs`` that aren't contaminated, with their columns.
+
+    Rows with null or empty texts stay; rows of null doc_id are judged by their
+    text; repeated rows stay or go together; an empty table gives none.
+    """
     marked = judged(docs, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_bad_key")).distinct()
     kept = packed(docs).join(marked, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_key") == F.col("_bad_key")), "left_anti")
     return kept.select("_row.*")

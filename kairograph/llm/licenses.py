@@ -124,7 +124,9 @@ def scan(docs: DataFrame, known=SENTENCES, rules=RULES) -> DataFrame:
     ``unmatched`` is true where known sentences are left that no rule used.
     Sentences that aren't known break a sequence.  The pieces of a known
     sentence count as one sentence with the number that it has in a list; every
-    other piece counts as a sentence.  Null and empty texts have none.
+    other piece counts as a sentence.  Null and empty texts have none.  Texts of
+    any length are scanned whole; repeated rows come back each; an empty table
+    gives an empty result.
     """
     ids = F.create_map(*[F.lit(x) for ident, sentence in known for x in (sentence, ident)])
     whole = F.concat(F.lit("|"), F.array_join(F.filter(pieces(F.col("text")), lambda s: s != ""), "|"), F.lit("|"))

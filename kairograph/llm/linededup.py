@@ -47,7 +47,8 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     Texts of fewer than ``size`` lines stay as they are; a null text has no
     lines and stays null.  Rows that repeat doc_id and text count as one
-    document and are cut alike.
+    document and are cut alike.  Texts of any number of lines are looked through
+    whole; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, size)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_key"))

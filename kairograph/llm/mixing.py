@@ -63,7 +63,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, s
     the range in which the budget ends is sorted row by row.
 
     Documents without words take no part and are returned with ``epoch`` 0 and
-    ``taken`` false.  Equal rows are counted before the shuffle.
+    ``taken`` false.  Equal rows are counted before the shuffle.  A null source
+    is a source of its own; texts of any length are one row; an empty table
+    gives an empty result.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -139,7 +141,12 @@ def mix_summary(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, as often as it takes them, in the order of finish times."""
+    """The rows of ``docs`` that the mix takes, as often as it takes them, in the order of finish times.
+
+    Rows without words aren't taken; a null source is a source, the last one;
+    repeated rows are taken each for itself; columns may have any names; an
+    empty table gives none.
+    """
     of = lambda *names: F.xxhash64(*names).alias("_at")
     taken = mix(docs, **how).where("taken").select(
         F.col("doc_id").alias("_of"), F.col("source").alias("_of_source"), F.col("text_key").alias("_of_key"),

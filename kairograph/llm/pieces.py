@@ -139,6 +139,9 @@ def _counts(pieces):
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, n_bytes, n_words, n_tokens`` of every row, in one pass without a shuffle.
 
+    Texts and words of any length count whole; repeated rows come back each; an
+    empty table gives an empty result.
+
     Letters keep their case.  Null and empty texts have no tokens.  The
     vocabulary is read by the driver and sent to the tasks, at most
     :data:`MOST_BYTES` of it.

@@ -97,6 +97,36 @@ def assign_slots(docs: DataFrame, shards: int = 16, buckets: int = 1024) -> Data
     )
 
 
+#: Columns that :func:`shard_rows` adds.
+SHARD_COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def shard_rows(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """Every row with its columns and :data:`SHARD_COLUMNS`, where ``slot`` goes by the order in which the rows are stored.
+
+    ``docs`` is read from files; the order is that of the files' names, and of
+    the rows in each.  Rows are numbered by shard and file, and the numbers at
+    which a file's rows begin come from a table of counts.  Null text: size 1,
+    checksum 0; null doc_id: the shard of key 0; repeated rows get a slot each;
+    a column of ``docs`` with an added column's name is replaced; an empty table
+    gives an empty result.
+    """
+    kept = [c for c in docs.columns if c not in SHARD_COLUMNS]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"),
+    )
+    dealt = with_shard(with_shard(rows, shards), shards + 1, "grown_shard")
+    ahead = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = with_shard(docs.select("doc_id", F.col("_metadata.file_path").alias("_file")), shards).groupBy("shard", "_file").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("shard", "_file", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("shard", "_file").orderBy("_at")
+    return dealt.withColumn("_nth", F.row_number().over(within)).join(starts, ["shard", "_file"]).select(
+        "_row.*", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_nth") - 1).cast("long").alias("slot"), "grown_shard"
+    )
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
     """Write the rows into ``path/shard=N`` folders, each by several tasks."""
     with_shard(docs, shards).write.partitionBy("shard").parquet(path)

@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reached over links, the row's own included; ``first_key`` is that
     document's text_key, so the two name one row.  Null and empty texts have
     fingerprint 0 and link like any other.  A null doc_id counts as larger
-    than all others and comes back as null.
+    than all others and comes back as null.  Texts of any length count whole;
+    repeated rows come back each; an empty table gives an empty result.
     """
     rows = stored(fingerprints(docs), "simhash")
     nodes = stored(
@@ -172,7 +173,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component: that of the smallest doc_id."""
+    """One row of ``docs`` for each component: that of the smallest doc_id.
+
+    Rows without words are near copies of one another; of rows that share the
+    smallest doc_id the one of the smallest text hash stays, of repeated rows
+    one; rows of null doc_id only stay where the component has no other; an
+    empty table gives none.
+    """
     firsts = near_duplicates(docs).select(F.coalesce("component_id", F.lit(NULL_ID)).alias("_first"), F.col("first_key").alias("_first_key")).distinct()
     keyed = packed(docs).withColumn("_id", F.coalesce("_id", F.lit(NULL_ID)))
     kept = keyed.join(firsts, (F.col("_id") == F.col("_first")) & (F.col("_key") == F.col("_first_key")), "left_semi")
