@@ -40,7 +40,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 #: Rounds in which totals are renewed; sweeps over all customers in each, and how many of these are averaged.
 PHASES, SWEEPS, KEPT = 3, 4, 2
 #: Bytes of text that a bucket gets on average, and that a task takes at once.
-BUCKET_BYTES, BATCH_BYTES = 8_000_000, 12_000_000
+BUCKET_BYTES, BATCH_BYTES = 12_000_000, 8_000_000
 #: A word that fills more than this part of a bucket is spread over all buckets ...
 SPREAD = 0.125
 #: ... as told by one document of so many, which moves rows and no results.
@@ -313,29 +313,33 @@ class _Home:
 
 
 #: What a home tells a bucket, of all names and words at the end, of those that are sampled before:
-#: the restaurants' tables (and customers), the dishes' part in the parent (and training counts); and at the end the bucket's own tables.
-_TOLD = {"tables": "f4", "customers": "i8", "kept": "f8", "counts": "i8"}
-_TELLS = "bucket int, home int, " + ", ".join(f"{c} binary" for c in _TOLD) + ", seats binary, dishes_sum double, parent_tables double"
+#: the restaurants' tables (at the end their customers, and how many more these are), the dishes' customers and tables in the parent
+#: (and training counts); and at the end the bucket's own tables.  Numbers of tables are sums over the kept sweeps, so they are whole.
+_TOLD = {"tables": "i8", "customers": "i8", "fewer": "i8", "dishes": "i8", "seats": "i8", "counts": "i8"}
+_TELLS = "bucket int, home int, " + ", ".join(f"{c} binary" for c in _TOLD) + ", own binary, dishes_sum double, parent_tables double"
 
 
 def _tell(home: int, h: _Home, tables: np.ndarray, dishes: np.ndarray, parent: dict, last: bool, seed: int) -> list[dict]:
-    """Sample the parent's seating of the dishes and tell the buckets."""
-    whole = np.rint(dishes).astype(np.int64)
+    """Sample the parent's seating of the dishes and tell the buckets; ``tables`` and ``dishes`` are sums over the kept sweeps."""
+    whole = np.rint(dishes / parent["kept"]).astype(np.int64)
     weight = (PARENT_STRENGTH + PARENT_DISCOUNT * parent["tables"]) / (parent["vocabulary"] + 1)
-    seats = mean_tables(whole, np.full(len(whole), weight), PARENT_DISCOUNT, parent["sweeps"], parent["kept"], np.random.default_rng([seed, home, 1])) / parent["kept"]
-    kept = dishes - PARENT_DISCOUNT * np.minimum(seats, np.maximum(dishes, 0))
-    rows = [{"bucket": -1, "home": home, "dishes_sum": float(dishes.sum()), "parent_tables": float(seats.sum())}]
+    seats = mean_tables(whole, np.full(len(whole), weight), PARENT_DISCOUNT, parent["sweeps"], parent["kept"], np.random.default_rng([seed, home, 1]))
+    seats = np.minimum(seats, dishes)
+    rows = [{"bucket": -1, "home": home, "dishes_sum": float(dishes.sum()) / parent["kept"], "parent_tables": float(seats.sum()) / parent["kept"]}]
     for bucket, name, busy, word, word_busy in h.parts():
         if not last:
             name, word = name[busy], word[word_busy]
-        said = {"tables": tables[name], "kept": kept[word]}
+        said = {"dishes": dishes[word], "seats": seats[word]}
         if last:
-            said |= {"customers": h.row["customers"][name], "counts": h.row["counts"][word]}
+            customers = h.row["customers"][name]
+            said |= {"customers": customers, "fewer": customers * parent["kept"] - tables[name], "counts": h.row["counts"][word]}
+        else:
+            said |= {"tables": tables[name]}
         rows.append({"bucket": bucket, "home": home, **{c: _pack(x, _TOLD[c]) for c, x in said.items()}})
     return rows
 
 
-_TELL_COLUMNS = ["bucket", "home", *_TOLD, "seats", "dishes_sum", "parent_tables"]
+_TELL_COLUMNS = ["bucket", "home", *_TOLD, "own", "dishes_sum", "parent_tables"]
 
 
 def _told(rows: list[dict]) -> pd.DataFrame:
@@ -350,7 +354,7 @@ def _tell_first(parent: dict, seed: int):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 h = _Home(row)
-                yield _told(_tell(row.home, h, h.row["tables"].astype(float), h.row["dishes"].astype(float), parent, False, seed))
+                yield _told(_tell(row.home, h, h.row["tables"] * parent["kept"], h.row["dishes"] * parent["kept"], parent, False, seed))
 
     return run
 
@@ -366,6 +370,13 @@ def _spread_told(told: pd.DataFrame, p: _Pairs, buckets: int, column: str, busy:
     return out
 
 
+def _below(told: pd.DataFrame, p: _Pairs, buckets: int, parent: dict, busy: bool) -> np.ndarray:
+    """The parent's probability of each word of a bucket."""
+    get = lambda c: _spread_told(told, p, buckets, c, busy, True) / parent["kept"]
+    base = (PARENT_STRENGTH + PARENT_DISCOUNT * parent["tables"]) / (parent["vocabulary"] + 1)
+    return (get("dishes") - PARENT_DISCOUNT * get("seats") + base) / (PARENT_STRENGTH + parent["dishes"])
+
+
 def _say(buckets: int, parent: dict, last: bool, seed: int):
     """Seat and sweep a bucket's pairs, and say the tables to the homes."""
 
@@ -373,25 +384,23 @@ def _say(buckets: int, parent: dict, last: bool, seed: int):
         out = []
         for row in rows.itertuples(index=False):
             p = _Pairs(row)
-            told = told[told["seats"].isna()]
-            tables, kept = _spread_told(told, p, buckets, "tables", True, False), _spread_told(told, p, buckets, "kept", True, True)
+            tables, below = _spread_told(told, p, buckets, "tables", True, False) / parent["kept"], _below(told, p, buckets, parent, True)
             s = p.several
-            below = (kept + (PARENT_STRENGTH + PARENT_DISCOUNT * parent["tables"]) / (parent["vocabulary"] + 1)) / (PARENT_STRENGTH + parent["dishes"])
-            weight = (STRENGTH + DISCOUNT * tables[p.place[s]].astype(float)) * below[p.word[s]]
+            weight = (STRENGTH + DISCOUNT * tables[p.place[s]]) * below[p.word[s]]
             seats = mean_tables(p.count[s], weight, DISCOUNT, parent["sweeps"], parent["kept"], np.random.default_rng([seed, int(row.bucket), 0]))
-            by_name, by_word = p.by_name(seats / parent["kept"], s), p.by_word(seats / parent["kept"], s)
+            by_name, by_word = np.rint(p.by_name(seats, s)), np.rint(p.by_word(seats, s))
             for home, n, w in p.homes(buckets):
                 n, w = n[p.busy_names[n]], w[p.busy_words[w]]
-                out.append({"home": home, "bucket": row.bucket, "tables": _pack(by_name[n], "f4"), "dishes": _pack(by_word[w], "f4"), "seats": None})
+                out.append({"home": home, "bucket": row.bucket, "tables": _pack(by_name[n], "i8"), "dishes": _pack(by_word[w], "i8"), "own": None})
             if last:
                 # through any home that has a row, back to the bucket
-                out[-1:] = [out[-1] | {"seats": _pack(seats, "i8")}] if out else []
-        return pd.DataFrame(out, columns=["home", "bucket", "tables", "dishes", "seats"])
+                out[-1:] = [out[-1] | {"own": _pack(seats, "i8")}] if out else []
+        return pd.DataFrame(out, columns=["home", "bucket", "tables", "dishes", "own"])
 
     return run
 
 
-_SAYS = "home int, bucket int, tables binary, dishes binary, seats binary"
+_SAYS = "home int, bucket int, tables binary, dishes binary, own binary"
 
 
 def _total(parent: dict, last: bool, seed: int):
@@ -401,14 +410,14 @@ def _total(parent: dict, last: bool, seed: int):
         out = []
         for row in rows.itertuples(index=False):
             h = _Home(row)
-            tables, dishes = h.row["single"].astype(float), h.row["word_single"].astype(float)
+            tables, dishes = h.row["single"] * parent["kept"], h.row["word_single"] * parent["kept"]
             by_bucket = {r.bucket: r for r in said.itertuples(index=False)}
             for bucket, name, busy, word, word_busy in h.parts():
                 if bucket in by_bucket:
-                    tables[name[busy]] += _open(by_bucket[bucket].tables, "f4")
-                    np.add.at(dishes, word[word_busy], _open(by_bucket[bucket].dishes, "f4"))
+                    tables[name[busy]] += _open(by_bucket[bucket].tables, "i8")
+                    np.add.at(dishes, word[word_busy], _open(by_bucket[bucket].dishes, "i8"))
             out += _tell(row.home, h, tables, dishes, parent, last, seed)
-            out += [{"bucket": r.bucket, "home": row.home, "seats": r.seats} for r in said.itertuples(index=False) if r.seats is not None]
+            out += [{"bucket": r.bucket, "home": row.home, "own": r.own} for r in said.itertuples(index=False) if r.own is not None]
         return _told(out)
 
     return run
@@ -454,20 +463,21 @@ def shares(row, told: pd.DataFrame, parent: dict, buckets: int) -> tuple[_Pairs,
     """A bucket's pairs, the predictive probability of each, and the training count of each word."""
     p = _Pairs(row)
     seats = np.where(p.count > 0, 1.0, 0.0)
-    own = told[told["seats"].notna()]
+    own = told[told["own"].notna()]
     if len(own):
-        seats[p.several] = _open(own["seats"].iloc[0], "i8") / parent["kept"]
-    told = told[told["seats"].isna()]
+        seats[p.several] = _open(own["own"].iloc[0], "i8") / parent["kept"]
+    told = told[told["own"].isna()]
     get = lambda c, words: _spread_told(told, p, buckets, c, False, words).astype(float)
-    tables, customers, kept, counts = get("tables", False), get("customers", False), get("kept", True), get("counts", True)
-    below = (kept + (PARENT_STRENGTH + PARENT_DISCOUNT * parent["tables"]) / (parent["vocabulary"] + 1)) / (PARENT_STRENGTH + parent["dishes"])
+    customers, counts, below = get("customers", False), get("counts", True), _below(told, p, buckets, parent, False)
+    tables = customers - get("fewer", False) / parent["kept"]
     back = STRENGTH + DISCOUNT * tables[p.place]
     share = (p.count - DISCOUNT * seats + back * below[p.word]) / (STRENGTH + customers[p.place])
     return p, share, counts
 
 
-#: Sums of a batch's texts in one bucket: known tokens, base score and score.
-_SUMS = {"known": "i4", "base": "f8", "score": "f8"}
+#: Sums of a batch's texts in one bucket: known tokens, base score and score, and the part of one in which they are counted.
+_SUMS = {"known": "i8", "base": "i8", "score": "i8"}
+_PARTS = {"known": 1, "base": 1 << 32, "score": 1 << 24}
 _SCORED = "batch bigint, " + ", ".join(f"{c} binary" for c in (*_HEAD, *_SUMS))
 
 
@@ -489,7 +499,7 @@ def _score(buckets: int, parent: dict, base: float):
                 doc = use["docs"][j : j + docs].astype(np.int64)
                 i, j = i + pairs, j + docs
                 sums = {"known": np.bincount(doc, known[at]), "base": np.bincount(doc, plain[at]), "score": np.bincount(doc, log[at])}
-                out.append({"batch": int(batch), **{c: _pack(x, _SUMS[c]) for c, x in sums.items()}})
+                out.append({"batch": int(batch), **{c: _pack(np.rint(-x * _PARTS[c]), _SUMS[c]) for c, x in sums.items()}})
         frame = pd.DataFrame(out, columns=["batch", *_HEAD, *_SUMS])
         return frame.astype(object).where(frame.notna(), None)
 
@@ -505,7 +515,7 @@ def _gather(rows: pd.DataFrame) -> pd.DataFrame:
         for c, x in total.items():
             part = _open(getattr(r, c), _SUMS[c])
             x[: len(part)] += part
-    frame = pd.DataFrame(out | {c: x // len(heads) if c == "known" else x / len(heads) for c, x in total.items()})
+    frame = pd.DataFrame(out | {c: -x / (_PARTS[c] * len(heads)) for c, x in total.items()}).astype({"known": np.int64})
     return pd.concat([frame] * len(heads), ignore_index=True)
 
 

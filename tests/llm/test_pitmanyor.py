@@ -174,11 +174,11 @@ def test_probabilities_after_a_word_sum_to_one(spark):
     for row in buckets.itertuples(index=False):
         own = told[told["bucket"] == row.bucket]
         p, own_share, counts = lm.shares(row, own, parent, model.buckets)
-        kept = lm._spread_told(own[own["seats"].isna()], p, model.buckets, "kept", False, True)
-        names, customers = p.names[p.place], lm._spread_told(own[own["seats"].isna()], p, model.buckets, "customers", False, False)
-        below |= dict(zip(p.words.tolist(), (kept / (lm.PARENT_STRENGTH + parent["dishes"]) + base).tolist(), strict=True))
+        own = own[own["own"].isna()]
+        names, customers = p.names[p.place], lm._spread_told(own, p, model.buckets, "customers", False, False)
+        below |= dict(zip(p.words.tolist(), lm._below(own, p, model.buckets, parent, False).tolist(), strict=True))
         share |= dict(zip(zip(names.tolist(), p.words[p.word].tolist(), strict=True), own_share.tolist(), strict=True))
-        told_tables = lm._spread_told(own[own["seats"].isna()], p, model.buckets, "tables", False, False)
+        told_tables = customers - lm._spread_told(own, p, model.buckets, "fewer", False, False) / parent["kept"]
         count |= dict(zip(p.names.tolist(), customers.tolist(), strict=True))
         tables |= dict(zip(p.names.tolist(), told_tables.tolist(), strict=True))
         assert counts.sum() >= 0
