@@ -26,10 +26,12 @@ place, which compresses well.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import ASCII_LOWER, bucketed, stored
@@ -102,12 +104,31 @@ def _names(hashes: np.ndarray) -> np.ndarray:
 
 
 def _portions(batches):
-    """Arrow batches cut into portions of about :data:`BATCH_BYTES` of text; a longer single text is a portion of its own."""
+    """The rows in portions of about :data:`BATCH_BYTES` of text, however many come at once; a longer single text is a portion of its own."""
+    held, size = [], 0
     for pdf in batches:
-        size = np.array([len(t) if isinstance(t, str) else 0 for t in pdf["text"]], np.int64)
-        part = (np.cumsum(size) - size) // BATCH_BYTES
-        for _, own in pdf.groupby(part, sort=True):
-            yield own
+        each = np.array([len(t) if isinstance(t, str) else 0 for t in pdf["text"]], np.int64)
+        part = (size + np.cumsum(each) - each) // BATCH_BYTES
+        for k in np.unique(part):
+            if k and held:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(pdf[part == k])
+        size += int(each.sum()) - int(part[-1]) * BATCH_BYTES if len(part) else 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+@contextmanager
+def few_rows_at_once(spark: SparkSession, rows: int = 256):
+    """What is run inside sends fewer rows at a time to Python than the session would, as texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -441,8 +462,9 @@ def train(docs: DataFrame, seed: int = 1, phases: int = PHASES, sweeps: int = SW
     """Fit the model to the rows of ``docs`` (``doc_id, text``) that aren't held out; its buckets keep the occurrences of all rows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(8, -(-size // BUCKET_BYTES)))
-    dealt = _rows(docs).mapInPandas(_deal(buckets, frequent(docs, buckets)), _DEALT)
-    table = bucketed(dealt.groupBy("bucket").applyInPandas(_gather_bucket, _BUCKETS), "bucket", buckets, "pitmanyor")
+    with few_rows_at_once(docs.sparkSession):
+        dealt = _rows(docs).mapInPandas(_deal(buckets, frequent(docs, buckets)), _DEALT)
+        table = bucketed(dealt.groupBy("bucket").applyInPandas(_gather_bucket, _BUCKETS), "bucket", buckets, "pitmanyor")
     said = table.select("bucket", *_BUCKET).mapInPandas(_say_first(buckets), "home int, bucket int, " + ", ".join(f"{c} binary" for c in _FIRST))
     homes = bucketed(said.groupBy("home").applyInPandas(_gather_home, _HOMES), "home", buckets, "pitmanyor")
     sums = homes.agg(F.sum("tokens"), F.sum("vocabulary")).first()

@@ -218,3 +218,16 @@ def test_repeated_rows_and_long_texts_are_scored_alike(spark):
     assert len(got) == len(rows)
     assert len({r.score for r in got if r.doc_id == 1}) == 1 and len({r.score for r in got if r.doc_id == 2}) == 1
     assert [r.n_tokens for r in sorted(got, key=lambda r: r.doc_id or 0) if r.doc_id in (3, 4)] == [1, 1]
+
+
+def test_portions_do_not_depend_on_how_rows_arrive(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(lm, "BATCH_BYTES", 100)
+    rng = random.Random(3)
+    texts = [rng.choice([None, "", "x" * 250]) if rng.random() < 0.3 else "y" * rng.randint(1, 60) for _ in range(200)]
+    frame = pd.DataFrame({"text": texts, "id": range(200)})
+    cut = lambda step: [p["id"].tolist() for p in lm._portions(frame.iloc[a : a + step] for a in range(0, 200, step))]
+    whole = cut(200)
+    assert sum(whole, []) == list(range(200)) and len(whole) > 20
+    assert cut(1) == cut(7) == whole
