@@ -42,7 +42,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 #: Rounds in which totals are renewed; sweeps over all customers in each, and how many of these are averaged.
 PHASES, SWEEPS, KEPT = 3, 4, 2
 #: Bytes of text that a bucket gets on average, and that a task takes at once.
-BUCKET_BYTES, BATCH_BYTES = 12_000_000, 8_000_000
+BUCKET_BYTES, BATCH_BYTES = 8_000_000, 8_000_000
 #: A word that fills more than this part of a bucket is spread over all buckets ...
 SPREAD = 0.125
 #: ... as told by one document of so many, which moves rows and no results.
