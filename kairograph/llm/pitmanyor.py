@@ -26,10 +26,13 @@ place, which compresses well.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +76,13 @@ def _join(parts, kind: str) -> np.ndarray:
     return np.concatenate(arrays) if arrays else np.zeros(0, kind)
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on, and what it holds is missing elsewhere."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class _Numbers(dict):
     """Numbers words as they come."""
 
@@ -208,6 +218,8 @@ def _deal(buckets: int, spread: np.ndarray):
                 }
                 rows.append({"bucket": int(bucket[i]), "batch": batch, **{c: _pack(x, _DEAL[c]) for c, x in said.items()}})
             out = pd.DataFrame(rows, columns=["bucket", "batch", *_HEAD, *_DEAL])
+            del rows, pair, doc, train, times, name, word, bucket
+            _give_back()
             yield out.astype(object).where(out.notna(), None)
 
     return run
@@ -223,6 +235,7 @@ _BUCKETS = "bucket int, " + ", ".join(f"{c} binary" for c in (*_BUCKET, *_USES,
 
 def _gather_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: the counts of all batches together, and what each batch has of its pairs."""
+    _give_back()
     pdf = pdf.sort_values("batch", kind="stable")
     head, said = pdf[pdf["ids"].notna()], pdf[pdf["words"].notna()]
     parts = {c: [_open(x, k) for x in said[c]] for c, k in _DEAL.items()}
@@ -402,6 +415,7 @@ def _say(buckets: int, parent: dict, last: bool, seed: int):
     """Seat and sweep a bucket's pairs, and say the tables to the homes."""
 
     def run(group, told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        _give_back()
         out = []
         for row in rows.itertuples(index=False):
             p = _Pairs(row)
@@ -505,6 +519,7 @@ _SCORED = "batch bigint, " + ", ".join(f"{c} binary" for c in (*_HEAD, *_SUMS))
 
 def _score(buckets: int, parent: dict, base: float):
     def run(group, told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        _give_back()
         out = []
         for row in rows.itertuples(index=False):
             use = {c: _open(getattr(row, c), k) for c, k in (_USES | _HEADS).items()}
@@ -530,6 +545,7 @@ def _score(buckets: int, parent: dict, base: float):
 
 def _gather(rows: pd.DataFrame) -> pd.DataFrame:
     """The sums of all buckets for the texts of one batch, which repeated rows may have made more than one."""
+    _give_back()
     heads = rows[rows["ids"].notna()]
     out = {c: _open(heads[c].iloc[0], k) for c, k in _HEAD.items()}
     total = {c: np.zeros(len(out["ids"]), k) for c, k in _SUMS.items()}
