@@ -29,15 +29,17 @@ from __future__ import annotations
 import ctypes
 import sys
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import ASCII_LOWER, bucketed, stored
+from kairograph.llm.common import bucketed, stored
 from kairograph.llm.seating import mean_tables
 
 DISCOUNT, STRENGTH = 0.8, 4.0
@@ -83,27 +85,20 @@ def _give_back() -> None:
         libc.malloc_trim(0)
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, the end first; of each token its number, the number of the word before, and its text's."""
-    number = _Numbers({END: 0})
-    of = number.__getitem__
-    ids, sizes = [], []
-    for text in texts:
-        words = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if isinstance(text, str) else []
-        words.append(END)
-        ids.append(np.fromiter(map(of, words), np.int32, len(words)))
-        sizes.append(len(words))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in number), np.uint64, len(number))
-    token = np.concatenate(ids)
-    before = np.zeros_like(token)  # a text begins after an end, which has number 0
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string(), from_pandas=True).fill_null("")))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)  # a split at either end of a text leaves an empty string
+    sizes = np.diff(np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[lists.offsets.to_numpy()]) + 1
+    words = flat.filter(real).dictionary_encode()
+    token = np.zeros(int(sizes.sum()), np.int32)  # the end has number 0
+    inside = np.ones(len(token), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    token[inside] = words.indices.to_numpy() + 1
+    distinct = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in chain((END,), distinct)), np.uint64, len(distinct) + 1)
+    before = np.zeros_like(token)  # a text begins after an end
     before[1:] = token[:-1]
     return hashes, token, before, np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
 
