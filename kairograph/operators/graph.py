@@ -7,10 +7,10 @@ shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kairograph.errors import NegativeEdgeWeight, SubgraphTooLarge
@@ -112,13 +112,51 @@ class Subgraph:
     def in_edges(self, node: str) -> DataFrame:
         return self.edges.where(F.col("target_id") == node)
 
+    def node(self, node: str) -> Row | None:
+        """The node's row, None where there is none."""
+        return self.nodes.where(F.col("id") == node).first()
+
+    def with_nodes(self, nodes: DataFrame) -> Subgraph:
+        """Also with ``nodes``, whose rows take the place of those of the same id."""
+        old = self.nodes.join(nodes.select("id"), "id", "left_anti")
+        return replace(self, nodes=old.unionByName(nodes.dropDuplicates(["id"]), allowMissingColumns=True))
+
+    def with_edges(self, edges: DataFrame) -> Subgraph:
+        """Also with those of ``edges`` both ends of which are nodes."""
+        return replace(self, edges=self.edges.unionByName(closed(self.nodes, edges), allowMissingColumns=True))
+
+    def __contains__(self, node: str) -> bool:
+        return self.node(node) is not None
+
+    def __len__(self) -> int:
+        """Number of nodes."""
+        return self.nodes.count()
+
+    def __bool__(self) -> bool:
+        """A graph is one without nodes too; asking starts no job."""
+        return True
+
+    def __iter__(self) -> Iterator[str]:
+        """Ids in order, fetched a partition at a time."""
+        return (r["id"] for r in self.nodes.select("id").orderBy("id").toLocalIterator())
+
+    def to_dict(self, budget: int = DEFAULT_BYTE_BUDGET) -> dict[str, dict]:
+        """``nodes`` by id and rows of edges by source (``out_adj``) and target (``in_adj``), on the driver; more than ``budget`` bytes are refused."""
+        if (n := self.estimated_bytes()) > budget:
+            raise SubgraphTooLarge(n=n, budget=budget)
+        out = {"nodes": {r["id"]: r for r in self.nodes.orderBy("id").collect()}, "out_adj": {}, "in_adj": {}}
+        for r in self.edges.orderBy("source_id", "target_id", "edge_type").collect():
+            out["out_adj"].setdefault(r["source_id"], []).append(r)
+            out["in_adj"].setdefault(r["target_id"], []).append(r)
+        return out
+
     def is_closed(self) -> bool:
         return self.edges.count() == closed(self.nodes, self.edges).count()
 
     def estimated_bytes(self) -> int:
         """Bytes of ids and of what comes with them, were the graph collected."""
-        nodes = self.nodes.agg(F.sum(F.length("id") + 48)).first()[0] or 0
-        edges = self.edges.agg(F.sum(F.length("source_id") + F.length("target_id") + F.length("edge_type") + 64)).first()[0] or 0
+        nodes = self.nodes.agg(F.sum(F.octet_length("id") + 48)).first()[0] or 0
+        edges = self.edges.agg(F.sum(F.octet_length("source_id") + F.octet_length("target_id") + F.octet_length("edge_type") + 64)).first()[0] or 0
         return int(nodes + edges)
 
 

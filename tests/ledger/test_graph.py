@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from kairograph.errors import SubgraphTooLarge
 from kairograph.operators import graph
 
 EDGE = "source_id string, target_id string, edge_type string, weight double"
@@ -102,3 +103,26 @@ def test_components_of_a_long_chain(spark):
     g = make(spark, 60, [(i, i + 1, 1.0) for i in range(40)])
     roots = {r.id: r.root for r in graph.components(g).collect()}
     assert len({roots[f"c{i}"] for i in range(41)}) == 1 and len(set(roots.values())) == 20
+
+
+def test_a_graph_as_a_plain_container(spark):
+    g = make(spark, 3, [(0, 1, 1.0), (0, 1, 2.0), (1, 0, 4.0)])
+    assert list(g) == ["c0", "c1", "c2"] and len(g) == 3 and "c2" in g and "c9" not in g
+    assert g.node("c1").id == "c1" and g.node("c9") is None
+    got = g.to_dict()
+    assert list(got["nodes"]) == ["c0", "c1", "c2"]
+    assert {k: sorted(e.weight for e in v) for k, v in got["out_adj"].items()} == {"c0": [1.0, 2.0], "c1": [4.0]}
+    assert {k: sorted(e.weight for e in v) for k, v in got["in_adj"].items()} == {"c1": [1.0, 2.0], "c0": [4.0]}
+    with pytest.raises(SubgraphTooLarge):
+        g.to_dict(budget=10)
+    empty = make(spark, 0, [])
+    assert list(empty) == [] and len(empty) == 0 and empty and empty.to_dict() == {"nodes": {}, "out_adj": {}, "in_adj": {}}
+
+
+def test_nodes_and_edges_are_added_and_the_graph_stays_closed(spark):
+    g = make(spark, 2, [(0, 1, 1.0)])
+    more = g.with_nodes(spark.createDataFrame([("c1",), ("c2",), ("c2",)], "id string"))
+    assert list(more) == ["c0", "c1", "c2"] and len(g) == 2
+    more = more.with_edges(spark.createDataFrame([("c1", "c2", "X", 3.0), ("c2", "c7", "X", 5.0)], EDGE))
+    assert sorted((e.source_id, e.target_id, e.weight) for e in more.edges.collect()) == [("c0", "c1", 1.0), ("c1", "c2", 3.0)]
+    assert more.is_closed()
