@@ -10,15 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kairograph.errors import NegativeEdgeWeight, SubgraphTooLarge
 from kairograph.functions.columns import edge_filter, instant, valid_at, weight_ok
+from kairograph.operators.numbering import numbered
 from kairograph.operators.temporal import Mode, hydrate, resolved_mode
-from kairograph.sources.shared import cut
+from kairograph.sources.shared import bucketed, cut
 
 DEFAULT_BYTE_BUDGET = 64 << 20
+#: So many ways that are left of a contraction are joined in one task, which saves its last, small rounds.
+FEW_WAYS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -190,12 +194,12 @@ def load_subgraph(how: Traversal, start: DataFrame, current: DataFrame, concepts
 def dijkstra(graph: Subgraph, start: str) -> DataFrame:
     """``id, distance`` of the nodes that ``start`` reaches.
 
-    Rounds of relaxation from the nodes that got nearer; for weights that
-    aren't negative their end has the distances of Dijkstra's algorithm, bit
+    Rounds of relaxation from the nodes that got nearer, over edges that are
+    stored once and stay where they are; for weights that aren't negative their end has the distances of Dijkstra's algorithm, bit
     for bit, as rounded addition keeps the order.
     """
     best = frontier = cut(graph.nodes.where(F.col("id") == start).select("id").distinct().withColumn("distance", F.lit(0.0)), "dijkstra")
-    ways = graph.edges.groupBy("source_id", "target_id").agg(F.min("weight").alias("weight"))
+    ways = bucketed(graph.edges.select("source_id", "target_id", "weight"), "source_id", "dijkstra")
     while True:
         if frontier.isEmpty():
             return best
@@ -220,7 +224,7 @@ def shortest_path(graph: Subgraph, start: str, goal: str, heuristic: Callable[[C
     if ends != {start, goal}:
         return None
     left = F.lit(0.0) if heuristic is None else heuristic(F.col("id"))
-    ways = graph.edges.groupBy("source_id", "target_id").agg(F.min("weight").alias("weight"))
+    ways = bucketed(graph.edges.select("source_id", "target_id", "weight"), "source_id", "path")
     best = frontier = cut(graph.nodes.where(F.col("id") == start).select("id").distinct().withColumn("distance", F.lit(0.0)), "path")
     cost = 0.0 if start == goal else float("inf")
     while True:
@@ -250,67 +254,166 @@ def shortest_path(graph: Subgraph, start: str, goal: str, heuristic: Callable[[C
     return cost, path[::-1]
 
 
+def _key(node: str | Column) -> Column:
+    """64-bit key of a node: the hash of its id."""
+    return F.xxhash64(node)
+
+
+def _keyed(graph: Subgraph, what: str) -> tuple[DataFrame, DataFrame]:
+    """``k, id`` of the nodes and ``a, b`` of the ways between two of them, with keys in place of ids; a pair may come more than once.
+
+    Should two ids share a key, nodes are numbered and keys are hashes of
+    numbers, of which no two are alike.
+    """
+    nodes = cut(graph.nodes.select(_key("id").alias("k"), "id"), what)
+    ends = graph.edges.where("source_id != target_id").select("source_id", "target_id")
+    # a second hash tells ids of one key apart
+    other = nodes.groupBy("k").agg(F.min(F.xxhash64(F.lit(1), "id")).alias("x"), F.max(F.xxhash64(F.lit(1), "id")).alias("y"))
+    if other.where("x != y").isEmpty():
+        ways = ends.select(_key("source_id").alias("a"), _key("target_id").alias("b")).where("a != b")
+    else:
+        told = cut(numbered(nodes.select("id").distinct(), "id", 0, "n").select("id", F.xxhash64("n").alias("k")), what)
+        nodes = cut(nodes.select("id").join(told, "id").select("k", "id"), what)
+        ways = ends.join(told.toDF("source_id", "a"), "source_id").join(told.toDF("target_id", "b"), "target_id").select("a", "b")
+    ways = cut(ways, what)
+    absent = cut(ways.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k"), "k", "left_anti"), what)
+    if not absent.isEmpty():
+        ways = cut(_without(ways, absent), what)
+    return nodes, ways
+
+
+def _without(ways: DataFrame, gone: DataFrame) -> DataFrame:
+    """Ways no end of which is in ``gone`` (k)."""
+    return ways.join(gone.select(F.col("k").alias("a")), "a", "left_anti").join(gone.select(F.col("k").alias("b")), "b", "left_anti").select("a", "b")
+
+
+def _contracted(ways: DataFrame, what: str) -> DataFrame:
+    """``k, root`` of every end of ``ways`` (a, b): two nodes have one root if they hang together, whatever the ways' directions.
+
+    In a round every node goes to the least of itself and its neighbours, and
+    ways between nodes that went to one place fall away, so that a round is a
+    fixed part smaller than the one before, however long chains are (Boegeholz
+    et al., 2020).  Keys are hashes and each round takes other bits of them
+    first, which makes its order one of chance.
+    """
+    levels: list[DataFrame] = []
+    while (n := ways.count()) > FEW_WAYS:
+        turn = 13 * len(levels) % 64
+        both = ways.select("a", "b").union(ways.select("b", "a"))
+        least = both.groupBy("a").agg(F.min(_spun("b", turn)).alias("m"))
+        level = cut(least.select("a", _spun(F.least("m", _spun("a", turn)), 64 - turn).alias("r")), what)
+        at_a, at_b = level.toDF("a", "x"), level.toDF("b", "y")
+        moved = ways.join(at_a, "a").select("b", "x").join(at_b, "b").where("x != y")
+        ways = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), what)
+        levels.append(level)
+    root = cut(ways.select("a", "b").coalesce(1).mapInPandas(_joined, "k long, root long"), what) if n else ways.select(F.col("a").alias("k"), F.col("b").alias("root"))
+    while levels:
+        level = levels.pop().toDF("k", "_r")
+        root = cut(level.join(root.toDF("_r", "root"), "_r", "left").select("k", F.coalesce("root", "_r").alias("root")), what)
+    return root
+
+
+def _joined(batches):
+    """Union-find over a few ways: every end and the least end it hangs together with."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    if up:
+        yield pd.DataFrame({"k": list(up), "root": [top(x) for x in list(up)]}, dtype="int64")
+
+
+def _spun(key: str | Column, bits: int) -> Column:
+    """The key's 64 bits turned to the left."""
+    c = F.col(key) if isinstance(key, str) else key
+    return c if bits % 64 == 0 else F.shiftleft(c, bits).bitwiseOR(F.shiftrightunsigned(c, 64 - bits))
+
+
+def _told(nodes: DataFrame, root: DataFrame, name: str, what: str) -> DataFrame:
+    """``id`` of the nodes and, as ``name``, the smallest id of those with the same root; a node without a root is alone."""
+    placed = cut(nodes.join(root, "k", "left").select("id", F.coalesce("root", "k").alias("_root")), what)
+    return placed.join(placed.groupBy("_root").agg(F.min("id").alias(name)), "_root").select("id", name)
+
+
 def components(graph: Subgraph) -> DataFrame:
     """``id, root``: weakly connected components, named by their smallest id."""
-    both = graph.edges.select("source_id", "target_id").union(graph.edges.select("target_id", "source_id")).toDF("a", "b").where("a != b").distinct()
-    label = cut(graph.nodes.select("id", F.col("id").alias("root")), "components")
-    while True:
-        near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("root").alias("near"))
-        hop = label.join(near, label["id"] == near["a"], "left").select("id", F.least("root", F.coalesce("near", "root")).alias("low"), F.col("root").alias("was"))
-        # a node also takes the label of its label, which halves long chains
-        jump = hop.select(F.col("id").alias("_at"), F.col("low").alias("_low"))
-        new = cut(hop.join(jump, hop["low"] == jump["_at"], "left").select("id", F.least("low", F.coalesce("_low", "low")).alias("root"), "was"), "components")
-        label = new.select("id", "root")
-        if new.where("root != was").isEmpty():
-            return label
+    nodes, ways = _keyed(graph, "components")
+    return _told(nodes, _contracted(ways, "components"), "root", "components")
 
 
 def _spread(label: DataFrame, ways: DataFrame) -> DataFrame:
-    """Least label that reaches each node along ``ways`` (a, b) without leaving the nodes of ``label`` (id, part, mark)."""
+    """Least mark that reaches each node along ``ways`` (a, b) without leaving the part, from ``label`` (k, part, mark), where a mark is its node's key."""
     while True:
-        inside = ways.join(label, ways["a"] == label["id"]).select("b", F.col("part").alias("_part"), "mark")
+        inside = ways.join(label, ways["a"] == label["k"]).select("b", F.col("part").alias("_part"), "mark")
         near = inside.groupBy("b", "_part").agg(F.min("mark").alias("near"))
-        new = cut(
-            label.join(near, (label["id"] == near["b"]) & (label["part"] == near["_part"]), "left").select("id", "part", F.least("mark", F.coalesce("near", "mark")).alias("mark"), F.col("mark").alias("was")),
+        hop = cut(
+            label.join(near, (label["k"] == near["b"]) & (label["part"] == near["_part"]), "left").select("k", "part", F.least("mark", F.coalesce("near", "mark")).alias("low"), F.col("mark").alias("was")),
             "scc",
         )
-        label = new.select("id", "part", "mark")
-        if new.where("mark != was").isEmpty():
+        if hop.where("low != was").isEmpty():
             return label
+        # what reaches the mark's node reaches the node, which halves long ways
+        jump = hop.select(F.col("k").alias("_at"), F.col("low").alias("_low"))
+        label = cut(hop.join(jump, hop["low"] == jump["_at"]).select("k", "part", F.least("low", "_low").alias("mark")), "scc")
 
 
 def scc(graph: Subgraph) -> DataFrame:
     """``id, component``: strongly connected components, named by their smallest id.
 
-    Nodes without ways in or out are trimmed off; in the rest, each part is
-    coloured with the least id that reaches a node, and nodes from which that
-    least id can be reached back are its component.  What is left goes on in
+    Nodes without ways in or out are trimmed off.  Where every node of a weak
+    component has as many ways in as out, a closed trail takes all of its ways,
+    so it is a strong component as it stands.  In the rest, each part is
+    coloured with the least key that reaches a node, and nodes from which that
+    key's node can be reached back are its component.  What is left goes on in
     parts of equal colour.
     """
-    ways = cut(graph.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a != b").distinct(), "scc")
-    left = cut(graph.nodes.select("id", F.lit("").alias("part")), "scc")
-    done = None
+    nodes, ways = _keyed(graph, "scc")
     while True:
-        own = left.select("id", "part")
-        inner = ways.join(own, ways["a"] == own["id"]).select("a", "b", F.col("part").alias("_p"))
-        inner = cut(inner.join(own, (inner["b"] == own["id"]) & (inner["_p"] == own["part"])).select("a", "b"), "scc")
-        both = inner.select(F.col("a").alias("id")).intersect(inner.select(F.col("b").alias("id")))
-        single = left.join(both, "id", "left_anti").select("id", F.col("id").alias("component"))
-        rest = cut(left.join(both, "id", "left_semi"), "scc")
-        found = single
-        if not rest.isEmpty():
-            colour = _spread(rest.withColumn("mark", F.col("id")), inner)
-            back = inner.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            start = colour.select("id", F.col("mark").alias("part"), F.when(F.col("id") == F.col("mark"), F.lit("0")).otherwise(F.lit("1")).alias("mark"))
-            met = _spread(start, back)
-            found = found.unionByName(met.where("mark = '0'").select("id", F.col("part").alias("component")))
-            left = cut(met.where("mark = '1'").select("id", "part"), "scc")
-        else:
-            left = rest
-        found = cut(found, "scc")
-        done = found if done is None else done.unionByName(found)
-        if left.isEmpty():
-            return done
+        ends = cut(_ends(ways), "scc")
+        n, dead = ends.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.least("ins", "outs") == 0).cast("long")), F.lit(0))).first()
+        if not dead:
+            break
+        ways = cut(_without(ways, ends.where("least(ins, outs) = 0")), "scc")
+        if dead * 10 < n:
+            ends = cut(_ends(ways), "scc")
+            break
+    root = _contracted(ways, "scc")
+    uneven = ends.where("ins != outs").select("k")
+    if not uneven.isEmpty():
+        parts = cut(root.join(uneven, "k").select("root").distinct(), "scc")
+        rest = cut(root.join(parts, "root").select("k", F.col("root").alias("part")), "scc")
+        inner = ways.join(rest.select(F.col("k").alias("a")), "a", "left_semi").select("a", "b").distinct()
+        root = root.join(parts, "root", "left_anti").select("k", "root").unionByName(_coloured(rest, cut(inner, "scc")))
+    return _told(nodes, root, "component", "scc")
+
+
+def _ends(ways: DataFrame) -> DataFrame:
+    """``k, ins, outs``: numbers of ways into and out of each node."""
+    each = ways.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("b").alias("k"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
+    return each.groupBy("e.k").agg(F.sum("e.i").alias("ins"), F.sum("e.o").alias("outs"))
+
+
+def _coloured(left: DataFrame, ways: DataFrame) -> DataFrame:
+    """``k, root`` of the nodes of ``left`` (k, part) that aren't trimmed off, by colours."""
+    done = left.where("false").select("k", F.col("part").alias("root"))
+    while not left.isEmpty():
+        inner = ways.join(left, ways["a"] == left["k"]).select("a", "b", F.col("part").alias("_p"))
+        ways = cut(inner.join(left, (inner["b"] == left["k"]) & (inner["_p"] == left["part"])).select("a", "b"), "scc")
+        both = ways.select(F.col("a").alias("k")).intersect(ways.select(F.col("b").alias("k")))
+        rest = cut(left.join(both, "k", "left_semi"), "scc")
+        colour = _spread(rest.withColumn("mark", F.col("k")), ways)
+        start = colour.select("k", F.col("mark").alias("part"), F.col("k").alias("mark"))
+        met = _spread(start, ways.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        done = done.unionByName(cut(met.where("mark = part").select("k", F.col("part").alias("root")), "scc"))
+        left = cut(met.where("mark != part").select("k", "part"), "scc")
+    return done
 
 
 def k_core(graph: Subgraph, k: int) -> DataFrame:

@@ -64,7 +64,10 @@ class Data:
 
     def both_ways(self) -> DataFrame:
         s = self.supply()
-        return s.unionByName(s.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("SUPPLIEDBY").alias("edge_type"), "weight", "valid_from", "valid_to"))
+        rest = ("weight", "valid_from", "valid_to")
+        there = F.struct("source_id", "target_id", "edge_type", *rest)
+        back = F.struct(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("SUPPLIEDBY").alias("edge_type"), *rest)
+        return s.select(F.inline(F.array(there, back)))  # supply is grouped once
 
     def places(self) -> DataFrame:
         """Region, nation, customer and order as a forest; an order leads to its customer's next one."""

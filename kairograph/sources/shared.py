@@ -25,3 +25,11 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
+    """Like :func:`cut`, in as many buckets of ``key`` as a shuffle has partitions: joins on it read the rows where they lie."""
+    spark = df.sparkSession
+    name, n = f"{what}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)

@@ -126,3 +126,85 @@ def test_nodes_and_edges_are_added_and_the_graph_stays_closed(spark):
     more = more.with_edges(spark.createDataFrame([("c1", "c2", "X", 3.0), ("c2", "c7", "X", 5.0)], EDGE))
     assert sorted((e.source_id, e.target_id, e.weight) for e in more.edges.collect()) == [("c0", "c1", 1.0), ("c1", "c2", 3.0)]
     assert more.is_closed()
+
+
+def counted(spark, g):
+    """The graph, and how many of its edges were made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    return graph.Subgraph(g.nodes, g.edges.mapInPandas(run, g.edges.schema)), made
+
+
+def cuts(monkeypatch):
+    """Counts of the rows that an iteration stores."""
+    stored, plain = [], graph.cut
+
+    def cut(df, what="cut"):
+        out = plain(df, what)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    return stored
+
+
+def test_distances_make_the_edges_once(spark):
+    g, made = counted(spark, make(spark, 8, [(i, i + 1, 1.0) for i in range(7)] + [(0, 1, 5.0)]))
+    assert {r.id: r.distance for r in graph.dijkstra(g, "c0").collect()} == {f"c{i}": float(i) for i in range(8)}
+    assert made.value == 8
+    assert graph.shortest_path(g, "c0", "c7") == (7.0, [f"c{i}" for i in range(8)])
+    assert made.value == 16
+
+
+def test_strong_components_of_long_rings_take_few_rounds(spark, monkeypatch):
+    ring = [(20 * r + i, 20 * r + (i + 1) % 20, 1.0) for r in range(3) for i in range(20)]
+    g = make(spark, 62, [*ring, (61, 0, 1.0)])
+    stored = cuts(monkeypatch)
+    parts = {}
+    for r in graph.scc(g).collect():
+        parts.setdefault(r.component, set()).add(int(r.id[1:]))
+    assert sorted(map(sorted, parts.values())) == [*(list(range(k, k + 20)) for k in (0, 20, 40)), [60], [61]]
+    assert all(k == min(f"c{x}" for x in part) for k, part in parts.items())
+    assert len(stored) < 20
+
+
+def test_strong_components_that_are_not_even(spark, monkeypatch):
+    # two rings of 60 with a way from one to the other, and a chord in each
+    ring = [(60 * r + i, 60 * r + (i + 1) % 60, 1.0) for r in range(2) for i in range(60)]
+    g = make(spark, 120, [*ring, (3, 65, 1.0), (7, 1, 1.0), (70, 62, 1.0)])
+    stored = cuts(monkeypatch)
+    parts = {}
+    for r in graph.scc(g).collect():
+        parts.setdefault(r.component, set()).add(int(r.id[1:]))
+    assert sorted(map(sorted, parts.values())) == [list(range(60)), list(range(60, 120))]
+    assert len(stored) < 150
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_weak_components_shrink_from_round_to_round(spark, monkeypatch, few):
+    n, edges = 300, [(i, i + 1, 1.0) for i in range(200)] + [(250, 251, 1.0), (251, 250, 1.0), (260, 260, 1.0)]
+    g = make(spark, n, edges)
+    monkeypatch.setattr(graph, "FEW_WAYS", few)
+    stored = cuts(monkeypatch)
+    roots = {r.id: r.root for r in graph.components(g).collect()}
+    chain = {f"c{i}" for i in range(201)}
+    assert roots == {f"c{i}": min(chain) if f"c{i}" in chain else "c250" if i == 251 else f"c{i}" for i in range(n)}
+    assert sum(stored) < 9 * n  # 16 n when every round stored every node
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keys_that_two_ids_share(spark, monkeypatch, seed):
+    from pyspark.sql import functions as F
+
+    n, edges = draw(seed)
+    g = make(spark, n, [*edges, (0, n + 3, 1.0), (n + 3, 0, 1.0)])  # and an end that is no node
+    want = [sorted(map(tuple, f(g).collect())) for f in (graph.components, graph.scc)]
+    assert len(want[0]) == len(want[1]) == n
+    monkeypatch.setattr(graph, "_key", lambda c: F.pmod(F.xxhash64(c), F.lit(2)))
+    monkeypatch.setattr(graph, "FEW_WAYS", 0)
+    assert [sorted(map(tuple, f(g).collect())) for f in (graph.components, graph.scc)] == want
