@@ -453,47 +453,65 @@ def louvain(graph: Subgraph, sweeps: int = 100, least_gain: float = 1e-12) -> Da
     Communities are merged no further, which would join small true ones.
     """
     total = graph.totals().first()["total_weight"]
-    comm = cut(graph.nodes.select("id", F.col("id").alias("community")), "louvain")
     if not total:
-        return _named(comm)
-    degree = cut(graph.degrees().select("id", "weighted_degree"), "louvain")
-    pair = graph.edges.where("source_id != target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "weight")
-    near = cut(pair.union(pair.select("b", "a", "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "louvain")
-    best, best_score, quiet = comm, modularity(graph, comm).first()[0], 0
+        return graph.nodes.select("id", F.col("id").alias("community"))
+    # numbers in the order of ids, so that the smaller of two communities stays the one with the smaller name
+    nodes = cut(graph.nodes.select("id").repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("k"), "id"), "louvain")
+    state = cut(nodes.join(graph.degrees().select("id", F.col("weighted_degree").alias("deg")), "id").select("k", "id", "deg", F.col("k").alias("community")), "louvain")
+    ways = graph.edges.select("source_id", "target_id", "weight").join(nodes.toDF("a", "source_id"), "source_id").join(nodes.toDF("b", "target_id"), "target_id").select("a", "b", "weight")
+    ways = cut(ways, "louvain")
+    loops = ways.where("a = b").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    pair = ways.where("a != b")
+    near = bucketed(pair.union(pair.select("b", "a", "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "b", "louvain")
+    best, best_score, quiet, top = state, None, 0, None
     for sweep in range(sweeps):
-        own = comm.join(degree, "id")
-        mass = own.groupBy("community").agg(F.sum("weighted_degree").alias("mass"))
-        into = near.join(comm, near["b"] == comm["id"]).groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        here = own.select(F.col("id").alias("a"), F.col("community").alias("was"), "weighted_degree")
-        scored = into.join(mass, "community").join(here, "a")
-        outside = F.col("mass") - F.when(F.col("community") == F.col("was"), F.col("weighted_degree")).otherwise(0.0)
-        gain = F.col("w") / total - outside * F.col("weighted_degree") / (2.0 * total * total)
-        scored = scored.withColumn("gain", gain)
-        top = scored.groupBy("a").agg(
-            F.min(F.struct((-F.col("gain")).alias("loss"), F.col("community").alias("to"))).alias("best"),
-            F.coalesce(F.max(F.when(F.col("community") == F.col("was"), F.col("gain"))), F.lit(0.0)).alias("stay"),
-            F.first("was").alias("was"),
-        )
-        turn = F.pmod(F.xxhash64("a", F.lit(sweep)), F.lit(2)) == 0
-        moves = top.where(turn & (F.col("best.to") != F.col("was")) & (-F.col("best.loss") > F.greatest(F.col("stay"), F.lit(0.0)) + least_gain)).select("a", F.col("best.to").alias("to"))
-        moves = cut(moves, "louvain")
+        if top is None:
+            top, score = _rated(state, near, total, loops)
+            if best_score is None or score > best_score:
+                best, best_score = state, score
+            wants = top.where((F.col("to") != F.col("was")) & (F.col("gain") > F.greatest(F.col("stay"), F.lit(0.0)) + least_gain))
+            if wants.isEmpty():
+                return _settled(nodes, best)
+        turn = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0
+        moves = cut(wants.where(turn).select("k", "to"), "louvain")
         if moves.isEmpty():
             quiet += 1
             if quiet == 4:
                 break
             continue
-        quiet = 0
-        comm = cut(comm.join(moves, comm["id"] == moves["a"], "left").select("id", F.coalesce("to", "community").alias("community")), "louvain")
-        score = modularity(graph, comm).first()[0]
-        if score > best_score:
-            best, best_score = comm, score
-    return _named(best)
-
-
-def _named(comm: DataFrame) -> DataFrame:
-    """Communities named by their smallest node."""
-    first = comm.groupBy("community").agg(F.min("id").alias("first"))
-    return comm.join(first, "community").select("id", F.col("first").alias("community"))
+        quiet, top = 0, None
+        state = cut(state.join(moves, "k", "left").select("k", "id", "deg", F.coalesce("to", "community").alias("community")), "louvain")
+    if top is None and _rated(state, near, total, loops)[1] > best_score:
+        best = state
+    return _settled(nodes, best)
+
+
+def _rated(state: DataFrame, near: DataFrame, total: float, loops: float) -> tuple[DataFrame, float]:
+    """For each node (``k, id, was``) the community ``to`` of its neighbours that it would gain most by, that ``gain`` and what it gains where it is (``stay``); and the modularity as it is."""
+    mass = cut(state.groupBy("community").agg(F.sum("deg").alias("mass")), "louvain")
+    placed = state.join(mass, "community").select(F.col("k").alias("b"), "community", "mass")
+    into = near.join(placed, "b").select("a", "community", "mass", "weight").repartition("a").groupBy("a", "community").agg(F.sum("weight").alias("w"), F.max("mass").alias("mass"))
+    scored = into.join(state.select(F.col("k").alias("a"), "id", F.col("community").alias("was"), "deg"), "a")
+    own = F.col("community") == F.col("was")
+    outside = F.col("mass") - F.when(own, F.col("deg")).otherwise(0.0)
+    scored = scored.withColumn("gain", F.col("w") / total - outside * F.col("deg") / (2.0 * total * total))
+    top = scored.groupBy("a").agg(
+        F.min(F.struct((-F.col("gain")).alias("loss"), F.col("community").alias("to"))).alias("best"),
+        F.coalesce(F.max(F.when(own, F.col("gain"))), F.lit(0.0)).alias("stay"),
+        F.coalesce(F.max(F.when(own, F.col("w"))), F.lit(0.0)).alias("inside"),
+        F.first("was").alias("was"),
+        F.first("id").alias("id"),
+    )
+    top = cut(top.select(F.col("a").alias("k"), "id", "was", "best.to", (-F.col("best.loss")).alias("gain"), "stay", "inside"), "louvain")
+    inside = (top.agg(F.sum("inside")).first()[0] or 0.0) / 2 + loops
+    return top, inside / total - (mass.agg(F.sum(F.pow(F.col("mass") / (2 * total), 2))).first()[0] or 0.0)
+
+
+def _settled(nodes: DataFrame, state: DataFrame) -> DataFrame:
+    """Communities named by their smallest node, which has the smallest number."""
+    part = state.select("id", "community")
+    first = state.groupBy("community").agg(F.min("k").alias("k")).join(nodes, "k").select("community", F.col("id").alias("first"))
+    return part.join(first, "community").select("id", F.col("first").alias("community"))
 
 
 def annotations_of(values: DataFrame, label: str, computed_at: str) -> DataFrame:

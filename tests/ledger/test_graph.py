@@ -208,3 +208,12 @@ def test_keys_that_two_ids_share(spark, monkeypatch, seed):
     monkeypatch.setattr(graph, "_key", lambda c: F.pmod(F.xxhash64(c), F.lit(2)))
     monkeypatch.setattr(graph, "FEW_WAYS", 0)
     assert [sorted(map(tuple, f(g).collect())) for f in (graph.components, graph.scc)] == want
+
+
+def test_communities_make_the_edges_a_few_times(spark):
+    ring = [(12 * r + i, 12 * r + (i + 1) % 12, 1.0) for r in range(4) for i in range(12)]
+    g, made = counted(spark, make(spark, 49, ring))
+    part = graph.louvain(g)
+    assert part.count() == 49 and {r.community for r in part.where("id = 'c48'").collect()} == {"c48"}
+    assert made.value <= 4 * len(ring)  # for the totals, the degrees and the ways; every sweep made them anew before
+    assert graph.modularity(g, part).first()[0] > 0.4
