@@ -9,7 +9,7 @@
 3. *Classifier*: a logistic regression over text features, fitted to the label
    model's posterior labels of documents, whether these have a label or not.
 
-Labels only serve to find toxic words (of one third of the rows); those of the
+Labels only serve to find toxic words (of all rows that aren't held out); those of the
 held-out third are never read.  lang, source and doc_id are no inputs.
 """
 
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import packed, stored
+from kairograph.llm.common import bucketed, packed, stored
 
 #: Insults (fixed values).
 LEXICON = (
@@ -33,8 +33,6 @@ LEXICON = (
 STEM = 7
 #: Twice the log likelihood ratio from which a word's share of toxic rows isn't chance, which brings one word in some 200,000 so far.
 SURE = 21.0
-#: Rows of the folds 0 and 2 on which the classifier is fitted: all if there are fewer.
-FIT_ROWS = 40_000
 EM_ROUNDS = 3
 THRESHOLD = 0.7
 
@@ -68,14 +66,18 @@ def _distinct_words(batches):
 def learned_terms(docs: DataFrame, labels: DataFrame, sure: float = SURE) -> dict[str, float]:
     """Words, and beginnings (``^``), that toxic rows hold more often than clean ones, with log odds.
 
-    All of ``labels`` (``doc_id, toxic``, of fold 0) count, and all words that
-    are sure enough are kept: that many toxic words people's labels tell of,
-    however many documents there are.  Labels are joined to the distinct words
-    of the fold's rows, so no text is shuffled.
+    All of ``labels`` (``doc_id, toxic``) outside fold 1 count, and all words
+    that are sure enough are kept: that many toxic words people's labels tell
+    of, however many documents there are.  The distinct words of the rows are
+    stored in buckets of doc_id, where labels come to them, so neither texts nor
+    words are shuffled; of near copies the one with the smallest doc_id counts.
     """
-    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold() == 0)).select("doc_id", F.col("text").cast("string").alias("text"))
-    known = rows.mapInPandas(_distinct_words, "doc_id bigint, sign bigint, bag string").join(labels, "doc_id")
-    once = stored(known.groupBy("sign", "toxic").agg(F.min("bag").alias("bag")), "toxicity")
+    spark = docs.sparkSession
+    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1)).select("doc_id", F.col("text").cast("string").alias("text"))
+    bags = bucketed(rows.mapInPandas(_distinct_words, "doc_id bigint, sign bigint, bag string"), "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")), "toxicity")
+    known = labels.where(fold() != 1)
+    first = stored(bags.select("doc_id", "sign").join(known, "doc_id").groupBy("sign", "toxic").agg(F.min("doc_id").alias("doc_id")), "toxicity")
+    once = stored(bags.join(first, ["doc_id", "sign"]).groupBy("doc_id", "sign", "toxic").agg(F.min("bag").alias("bag")), "toxicity")
     sizes = once.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     toxic, clean = float(sizes[0] or 0), float(sizes[1] - (sizes[0] or 0))
     if not toxic or not clean:
@@ -190,29 +192,53 @@ def refined(toxic: float, n: float, up: np.ndarray, down: np.ndarray, products:
     return weights, float(-0.5 * (a + b) @ weights + np.log(toxic / (n - toxic)))
 
 
-def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and, last, bias of a logistic regression on soft targets, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
+def _newton(w: np.ndarray, weights: np.ndarray, bias: float):
+    """Sums over a partition for a Newton step from ``w``: gradient and curvature, targets being posteriors of the votes."""
+
+    def run(batches):
+        total = None
+        for pdf in batches:
+            x = np.column_stack([np.array(pdf["features"].tolist(), float), np.ones(len(pdf))])
+            target = posterior(np.array(pdf["votes"].tolist(), float), weights, bias)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            now = np.concatenate([x.T @ (target - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+            total = now if total is None else total + now
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "x": total})
+
+    return run
+
+
+def fit_logistic(rows: DataFrame, weights: np.ndarray, bias: float, ridge: float = 1.0) -> np.ndarray:
+    """Weights and, last, bias of a logistic regression of ``features`` on the posteriors of ``votes``, by Newton steps over all ``rows``; none without rows."""
+    w = None
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (target - p) - penalty * w)
+        if w is None:
+            one = rows.first()
+            if one is None:
+                return np.zeros(1)
+            w = np.zeros(len(one["features"]) + 1)
+            penalty = np.full(len(w), ridge)
+            penalty[-1] = 1e-6
+        sums = np.zeros(len(w) + len(w) ** 2)
+        for r in rows.mapInPandas(_newton(w, weights, bias), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # as many numbers as features squared
+            sums[r["i"]] = r["x"]
+        step = np.linalg.solve(sums[len(w) :].reshape(len(w), len(w)) + np.diag(penalty), sums[: len(w)] - penalty * w)
         w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, fit_rows: int | None = None) -> DataFrame:
     """``doc_id, text_key, held_out, score, predicted`` of every row of ``docs``.
 
     ``labels`` has ``doc_id, toxic``; several labels of one doc_id count as
     toxic if one is, null labels and null doc_ids don't count.  Toxic words come
-    from all labelled rows of fold 0; the label model is made from the votes on
-    all rows; ``fit_rows`` rows that aren't held out, by the order of a hash,
-    fit the classifier to its posterior labels.  Texts of any length are read
+    from all labelled rows that aren't held out; the label model is made from
+    the votes on all rows; all rows that aren't held out (``fit_rows`` of them by
+    the order of a hash, if it is given) fit the classifier to its posterior
+    labels.  Texts of any length are read
     whole.  Rows that repeat get the same score; null and empty texts get that
     of a text in which nothing was found.  Without labels the lexicon alone
     decides; an empty table gives an empty result.
@@ -220,18 +246,13 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    terms = spark.sparkContext.broadcast(learned_terms(rows, known.where(fold() == 0)))
+    terms = spark.sparkContext.broadcast(learned_terms(rows, known.where(fold() != 1)))
     described = stored(rows.mapInPandas(_describe(terms), "doc_id bigint, text_key bigint, votes array<double>, features array<double>"), "toxicity")
     weights, bias = label_model(described)
-    # of hashes in order the first ones; a border that about four times as many rows pass keeps the others in their tasks
-    place = F.xxhash64("doc_id", "text_key")
-    border = -(2**63) + min(2**64 - 1, 2**64 * 4 * fit_rows // max(described.count(), 1))
-    sample = described.where((fold() != 1) & (place <= border)).orderBy(place).limit(fit_rows).select("votes", "features").toPandas()
-    if len(sample):
-        v, x = np.array(sample["votes"].tolist(), float), np.array(sample["features"].tolist(), float)
-        model = fit_logistic(x, posterior(v, weights, bias))
-    else:
-        model = np.zeros(1)
+    fit = described.where(fold() != 1)
+    if fit_rows is not None:
+        fit = stored(fit.orderBy(F.xxhash64("doc_id", "text_key")).limit(fit_rows), "toxicity")
+    model = fit_logistic(fit.select("votes", "features"), weights, bias)
     # one array of size + 1 numbers
     total = F.aggregate(F.zip_with("features", F.array(*[F.lit(float(w)) for w in model[:-1]]).cast("array<double>"), lambda a, b: a * b), F.lit(float(model[-1])), lambda t, x: t + x)
     score = 1 / (1 + F.exp(-total))

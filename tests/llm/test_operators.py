@@ -616,3 +616,19 @@ def test_stored_tables_go_on_release(spark):
 
 def test_schema_of_odd_rows_has_clashing_names():
     assert SCHEMA.count("_key") and SCHEMA.count("_row")
+
+
+def test_words_and_classifier_come_from_all_rows_that_are_not_held_out(spark, monkeypatch):
+    docs, labels = toxic_rows(900)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    rare = [i for i in range(10_000, 10_060) if fold(i) == 2][:12]
+    more = [(i, docs[i - 10_000][1].replace("schimpf", "w") + f" raregift w{i}", 1) for i in rare]
+    frame = spark.createDataFrame([d[:2] for d in docs + more], "doc_id long, text string")
+    labels += [(i, 1) for i in rare]
+    terms, fitted = [], []
+    learn, fit = toxicity.learned_terms, toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "learned_terms", lambda *a: terms.append(learn(*a)) or terms[-1])
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda rows, *a: fitted.append(rows.count()) or fit(rows, *a))
+    assert toxicity.scored(frame, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == len(docs) + len(more)
+    assert fitted == [sum(fold(d[0]) != 1 for d in docs + more)]
+    assert "raregift" in terms[0]
