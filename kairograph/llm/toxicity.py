@@ -77,7 +77,8 @@ def learned_terms(docs: DataFrame, labels: DataFrame, sure: float = SURE) -> dic
     bags = bucketed(rows.mapInPandas(_distinct_words, "doc_id bigint, sign bigint, bag string"), "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")), "toxicity")
     known = labels.where(fold() != 1)
     first = stored(bags.select("doc_id", "sign").join(known, "doc_id").groupBy("sign", "toxic").agg(F.min("doc_id").alias("doc_id")), "toxicity")
-    once = stored(bags.join(first, ["doc_id", "sign"]).groupBy("doc_id", "sign", "toxic").agg(F.min("bag").alias("bag")), "toxicity")
+    same = F.col("sign").bitwiseXOR(F.col("_sign")) == 0  # an equality would be a key of the join, for which the buckets of doc_id would be shuffled
+    once = stored(bags.join(first.withColumnRenamed("sign", "_sign"), "doc_id").where(same).groupBy("doc_id", "sign", "toxic").agg(F.min("bag").alias("bag")), "toxicity")
     sizes = once.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     toxic, clean = float(sizes[0] or 0), float(sizes[1] - (sizes[0] or 0))
     if not toxic or not clean:

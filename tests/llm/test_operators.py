@@ -632,3 +632,27 @@ def test_words_and_classifier_come_from_all_rows_that_are_not_held_out(spark, mo
     assert toxicity.scored(frame, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == len(docs) + len(more)
     assert fitted == [sum(fold(d[0]) != 1 for d in docs + more)]
     assert "raregift" in terms[0]
+
+
+def test_words_of_rows_stay_in_their_buckets(spark, monkeypatch):
+    """Labels come to the words by doc_id alone; a second key would send all words through a shuffle."""
+    docs, labels = toxic_rows(90)
+    twice = [(docs[0][0], "another text of a labelled row"), (docs[1][0], docs[1][1])]  # one doc_id with two texts, one row twice
+    frame = spark.createDataFrame([d[:2] for d in docs] + twice, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id is not null")
+    plans, store = [], toxicity.stored
+
+    def watched(df, what):
+        if "bag" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, what)
+
+    monkeypatch.setattr(toxicity, "stored", watched)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.learned_terms(frame, known)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    moved = [line for line in plans[0].splitlines() if "Exchange" in line]
+    assert len(plans) == 1 and len(moved) == 1 and "SortMergeJoin" in plans[0]
