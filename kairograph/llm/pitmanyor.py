@@ -4,7 +4,8 @@ Model.  Every word has a restaurant of the words that follow it; the first word
 of a text follows the end of the one before.  All restaurants share the unigram
 restaurant as parent, whose base is uniform over the training words and one
 unknown word.  The tables of the restaurants are the parent's customers.
-Seatings are sampled by Gibbs sweeps over all customers
+Seatings are sampled by blocked Gibbs draws: all customers of a word in a
+restaurant are seated anew at once, or by sweeps where they are very many
 (:mod:`kairograph.llm.seating`), and the predictive probabilities are those of
 the averaged seatings.
 
@@ -150,6 +151,7 @@ def _sampled_words(batches):
         hashes, token, _, _ = _tokens(pdf["text"])
         n = np.bincount(token, minlength=len(hashes))
         yield pd.DataFrame({"word": hashes.view(np.int64), "n": n})
+    _give_back()
 
 
 def frequent(docs: DataFrame, buckets: int) -> np.ndarray:
@@ -176,6 +178,7 @@ def _deal(buckets: int, spread: np.ndarray):
     """Pairs of a batch and the texts they stand in, a row for each bucket, and the batch's own row."""
 
     def run(batches):
+        _give_back()
         for pdf in _portions(batches):
             hashes, token, before, doc = _tokens(pdf["text"])
             head = {"ids": pdf["id"], "nulls": pdf["null"], "keys": pdf["key"], "tokens": np.bincount(doc, minlength=len(pdf))}
@@ -409,8 +412,7 @@ def _below(told: pd.DataFrame, p: _Pairs, buckets: int, parent: dict, busy: bool
 def _say(buckets: int, parent: dict, last: bool, seed: int):
     """Seat and sweep a bucket's pairs, and say the tables to the homes."""
 
-    def run(group, told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        _give_back()
+    def seated(told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in rows.itertuples(index=False):
             p = _Pairs(row)
@@ -427,6 +429,12 @@ def _say(buckets: int, parent: dict, last: bool, seed: int):
                 out[-1:] = [out[-1] | {"own": _pack(seats, "i8")}] if out else []
         return pd.DataFrame(out, columns=["home", "bucket", "tables", "dishes", "own"])
 
+    def run(group, told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        _give_back()
+        out = seated(told, rows)
+        _give_back()  # a worker that waits for its next group would hold what this one took
+        return out
+
     return run
 
 
@@ -513,8 +521,7 @@ _SCORED = "batch bigint, " + ", ".join(f"{c} binary" for c in (*_HEAD, *_SUMS))
 
 
 def _score(buckets: int, parent: dict, base: float):
-    def run(group, told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        _give_back()
+    def summed(told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in rows.itertuples(index=False):
             use = {c: _open(getattr(row, c), k) for c, k in (_USES | _HEADS).items()}
@@ -535,6 +542,12 @@ def _score(buckets: int, parent: dict, base: float):
         frame = pd.DataFrame(out, columns=["batch", *_HEAD, *_SUMS])
         return frame.astype(object).where(frame.notna(), None)
 
+    def run(group, told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        _give_back()
+        out = summed(told, rows)
+        _give_back()
+        return out
+
     return run
 
 

@@ -5,13 +5,17 @@ opening a table (what the restaurant's strength, its tables and the parent's
 probability of the dish make up), groups don't depend on each other, so they
 are sampled together.
 
-Groups of up to :data:`ALONE` customers are sampled one customer after another:
-a sweep takes each away and seats it anew.  Such a group is in one of few states
-(the sizes of its tables, whichever table is which), so a move is a step in a
-table of states.  Of a larger group a row of an array holds the sizes of the
-tables; it moves in :data:`BLOCKS` blocks of customers drawn at random, whose
-members are seated side by side: the chance of a new table is that of the
-block's middle, and those who share a block don't share a new table.
+A group's seating is redrawn as a whole where its number of tables has few
+values that matter: t tables have a chance that goes with ``weight ** t`` times
+the ways to seat the customers at t tables, so one draw is what sweeps over the
+customers one by one come to in the end, and nothing need settle.  The draws
+that are kept take places spread evenly over that distribution.
+
+Of a group of more than :data:`COUNTED` customers, or of too many tables, a row
+of an array holds the sizes of the tables; it moves in :data:`BLOCKS` blocks of
+customers drawn at random, whose members are seated side by side: the chance of
+a new table is that of the block's middle, and those who share a block don't
+share a new table.
 """
 
 from __future__ import annotations
@@ -21,80 +25,52 @@ from functools import cache
 
 import numpy as np
 
-#: The largest group that moves one customer at a time, and the parts in which others move.
-ALONE, BLOCKS = 20, 16
+#: The largest group whose ways are counted, and the parts in which larger ones move.
+COUNTED, BLOCKS = 1024, 16
+#: Numbers of tables that are looked at, where all or all that matter lie below.
+WIDTHS = (4, 8, 16, 32, 64, 256)
 #: Numbers in an array of tables.
 CELLS = 1 << 20
 
 
-class _States:
-    """The sizes that tables of up to :data:`ALONE` customers can have, and what moves make of them."""
-
-    def __init__(self):
-        level, sizes = [()], [()]
-        for _ in range(ALONE):
-            level = sorted({tuple(sorted((*x[:k], n + 1, *x[k + 1 :]), reverse=True)) for x in level for k, n in enumerate(x)} | {(*x, 1) for x in level})
-            sizes += level
-        at = {x: k for k, x in enumerate(sizes)}
-        put = lambda x, k, by: tuple(sorted((n for n in (*x[:k], x[k] + by, *x[k + 1 :]) if n), reverse=True))
-        self.tables = np.array([len(x) for x in sizes])
-        self.customers = np.array([sum(x) for x in sizes])
-        #: By customer who leaves; and by who is joined: customers but the first of each table, then tables, then nobody.
-        self.leave = np.zeros((len(sizes), ALONE), np.int16)
-        self.join = np.zeros((len(sizes), ALONE + 1), np.int16)
-        for s, x in enumerate(sizes):
-            for c, k in enumerate(k for k, n in enumerate(x) for _ in range(n)):
-                self.leave[s, c] = at[put(x, k, -1)]
-            if sum(x) < ALONE:
-                for c, k in enumerate([*(k for k, n in enumerate(x) for _ in range(n - 1)), *range(len(x))]):
-                    self.join[s, c] = at[put(x, k, 1)]
-                self.join[s, sum(x)] = at[(*x, 1)]
-
-
 @cache
-def _states() -> _States:
-    return _States()
-
+def _ways(discount: float) -> np.ndarray:
+    """Logarithm of the ways to seat n customers at t tables, at [n - 1, t - 1], less that of one table.
 
-def _small_ahead(reach: list[int], weight: np.ndarray, discount: float) -> list[np.ndarray]:
-    """:func:`_ahead` for groups in order of size, where ``reach`` says how many of them seat a customer at each step."""
-    now = [weight[:m] for m in reach]
-    for _ in range(4):
-        tables, left = np.ones(len(weight)), []
-        for k, (w, m) in enumerate(zip(now, reach, strict=True)):
-            left.append(1 / (w + (k + 1) - discount * tables[:m]))
-            tables[:m] += w * left[-1]
-        after = np.zeros(len(weight))
-        for k in range(len(reach) - 1, -1, -1):
-            m = reach[k]
-            now[k] = weight[:m] * np.exp(-discount * after[:m])
-            after[:m] += left[k]
-    return now
-
-
-def _small_tables(count: np.ndarray, weight: np.ndarray, discount: float, sweeps: int, kept: int, rng: np.random.Generator) -> np.ndarray:
-    """:func:`mean_tables` of groups of 2 to :data:`ALONE` customers, largest first."""
-    states = _states()
+    A new customer opens a table, or joins one of t with a weight of n - discount * t.
+    """
+    tables = np.arange(1, WIDTHS[-1] + 1)
+    out = np.full((COUNTED, len(tables)), -np.inf)
+    out[0, 0] = 0.0
+    for n in range(1, COUNTED):
+        joined = out[n - 1] + np.log(np.maximum(n - discount * tables, 1e-300))
+        joined[1:] = np.logaddexp(joined[1:], out[n - 1, :-1])
+        out[n] = joined - joined[0]
+    return out
 
-    def join(state: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        n, t = states.customers[state], states.tables[state]
-        at = rng.random(len(state)) * (n - discount * t + weight)
-        whom = np.where(at < n - t, at, (n - t) + (at - (n - t)) / (1 - discount)).astype(np.int64)
-        return states.join[state, np.where(at < n - discount * t, np.minimum(whom, n - 1), n)]
 
-    # at step k the groups of more than k customers move
-    reach = [int(np.searchsorted(-count, -k, side="left")) for k in range(int(count[0]))]
-    state = np.ones(len(count), np.int16)
-    for m, w in zip(reach[1:], _small_ahead(reach[1:], weight, discount), strict=True):
-        state[:m] = join(state[:m], w)
-    total = np.zeros(len(count), np.int64)
-    for sweep in range(sweeps):
-        for m in reach:
-            out = states.leave[state[:m], (rng.random(m) * count[:m]).astype(np.int64)]
-            state[:m] = join(out, weight[:m])
-        if sweep >= sweeps - kept:
-            total += states.tables[state]
-    return total
+def _drawn(count: np.ndarray, weight: np.ndarray, discount: float, kept: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`mean_tables` of groups of 2 to :data:`COUNTED` customers; and places of those that more tables matter to than are looked at."""
+    ways, total = _ways(discount), np.zeros(len(count), np.int64)
+    at, log = rng.random(len(count)), np.log(np.maximum(weight, 1e-300))
+    mean = 1 + weight * np.log1p(count / (weight + 1))
+    left, need = np.arange(len(count)), np.minimum(count, mean + 6 * np.sqrt(mean) + 4)
+    for width in WIDTHS:
+        tried, left, steps = left[need[left] <= width], [left[need[left] > width]], np.arange(1, width + 1)
+        for begin in range(0, len(tried), CELLS // 4 // width):
+            own = tried[begin : begin + CELLS // 4 // width]
+            chance = ways[count[own] - 1, :width] + log[own, None] * steps
+            chance -= chance.max(axis=1, keepdims=True)
+            np.exp(chance, out=chance)
+            upto = np.cumsum(chance, axis=1)
+            # the chances have one peak, so a last one of next to nothing has less than that behind it
+            sure = (count[own] <= width) | (chance[:, -1] <= 1e-16 * upto[:, -1])
+            for k in range(kept):
+                below = upto[:, :-1] <= ((at[own] + k / kept) % 1 * upto[:, -1])[:, None]
+                total[own] += np.where(sure, 1 + below.sum(axis=1), 0)
+            left.append(own[~sure])
+        left = np.concatenate(left)
+    return total, left
 
 
 def _room(sizes: np.ndarray, wanted: np.ndarray | int) -> np.ndarray:
@@ -176,11 +152,11 @@ def mean_tables(count: np.ndarray, weight: np.ndarray, discount: float, sweeps:
     group of one customer has one table.
     """
     out = np.where(count > 0, kept, 0).astype(np.int64)
-    small = np.flatnonzero((count > 1) & (count <= ALONE))
-    if len(small):
-        small = small[np.argsort(-count[small], kind="stable")]
-        out[small] = _small_tables(count[small], weight[small], discount, sweeps, kept, rng)
-    large = np.flatnonzero(count > ALONE)
+    large = np.flatnonzero(count > COUNTED)
+    drawn = np.flatnonzero((count > 1) & (count <= COUNTED))
+    if len(drawn):
+        out[drawn], left = _drawn(count[drawn], weight[drawn], discount, kept, rng)
+        large = np.append(large, drawn[left])
     for part in _alike(count[large], weight[large]) if len(large) else ():
         own = large[part]
         n, w = count[own], weight[own]

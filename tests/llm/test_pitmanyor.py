@@ -66,6 +66,25 @@ def test_tables_of_a_group_are_those_of_the_recursion(count, weight):
     assert math.isclose(got, want, rel_tol=0.06)
 
 
+@pytest.mark.parametrize(("count", "weight"), [(12, 1.0), (200, 2.0), (200, 30.0), (1000, 5.0)])
+def test_one_draw_has_the_whole_distribution(count, weight):
+    """Nothing need settle: the first draw is as good as any."""
+    ways = np.append([0.0, 1.0], np.zeros(count))
+    for n in range(1, count):
+        ways[1:] = ways[:-1] + np.maximum(n - 0.8 * np.arange(1, count + 2), 0) * ways[1:]
+        ways /= ways.max()
+    with np.errstate(divide="ignore"):
+        chance = np.log(ways) + np.arange(count + 2) * math.log(weight)
+    chance = np.exp(chance - chance.max())
+    got = np.bincount(seating.mean_tables(np.full(20_000, count), np.full(20_000, weight), 0.8, 1, 1, np.random.default_rng(2)), minlength=count + 2) / 20_000
+    assert np.abs(got - chance / chance.sum()).sum() / 2 < 0.025
+
+
+def test_groups_with_many_tables_are_swept_and_stay_in_their_places():
+    count, weight = np.array([400, 2, 4097, 400, 300]), np.array([1e9, 1e9, 1e-9, 1e-9, 1e9])
+    assert (seating.mean_tables(count, weight, 0.8, 4, 2, np.random.default_rng(2)) / 2).round().tolist() == [400, 2, 1, 1, 300]
+
+
 def test_groups_of_all_sizes_come_back_in_their_places():
     rng = np.random.default_rng(3)
     count = rng.permutation(np.concatenate([np.zeros(5, int), np.ones(50, int), rng.integers(2, 40, 400), [10_000, 500, 64]]))
