@@ -259,8 +259,8 @@ def _key(node: str | Column) -> Column:
     return F.xxhash64(node)
 
 
-def _keyed(graph: Subgraph, what: str) -> tuple[DataFrame, DataFrame]:
-    """``k, id`` of the nodes and ``a, b`` of the ways between two of them, with keys in place of ids; a pair may come more than once.
+def _keyed(graph: Subgraph, what: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``k, id`` of the nodes, ``a, b`` of the ways between two of them, with keys in place of ids, and the ways' :func:`_ends`; a pair may come more than once.
 
     Should two ids share a key, nodes are numbered and keys are hashes of
     numbers, of which no two are alike.
@@ -276,10 +276,12 @@ def _keyed(graph: Subgraph, what: str) -> tuple[DataFrame, DataFrame]:
         nodes = cut(nodes.select("id").join(told, "id").select("k", "id"), what)
         ways = ends.join(told.toDF("source_id", "a"), "source_id").join(told.toDF("target_id", "b"), "target_id").select("a", "b")
     ways = cut(ways, what)
-    absent = cut(ways.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k"), "k", "left_anti"), what)
+    ends = cut(_ends(ways), what)
+    absent = cut(ends.select("k").join(nodes.select("k"), "k", "left_anti"), what)
     if not absent.isEmpty():
         ways = cut(_without(ways, absent), what)
-    return nodes, ways
+        ends = cut(_ends(ways), what)
+    return nodes, ways, ends
 
 
 def _without(ways: DataFrame, gone: DataFrame) -> DataFrame:
@@ -287,8 +289,8 @@ def _without(ways: DataFrame, gone: DataFrame) -> DataFrame:
     return ways.join(gone.select(F.col("k").alias("a")), "a", "left_anti").join(gone.select(F.col("k").alias("b")), "b", "left_anti").select("a", "b")
 
 
-def _contracted(ways: DataFrame, what: str) -> DataFrame:
-    """``k, root`` of every end of ``ways`` (a, b): two nodes have one root if they hang together, whatever the ways' directions.
+def _contracted(ways: DataFrame, ends: DataFrame, what: str) -> DataFrame:
+    """``k, root`` of every end of ``ways`` (a, b), whose ``ends`` are given: two nodes have one root if they hang together, whatever the ways' directions.
 
     In a round every node goes to the least of itself and its neighbours, and
     ways between nodes that went to one place fall away, so that a round is a
@@ -299,8 +301,11 @@ def _contracted(ways: DataFrame, what: str) -> DataFrame:
     levels: list[DataFrame] = []
     while (n := ways.count()) > FEW_WAYS:
         turn = 13 * len(levels) % 64
-        both = ways.select("a", "b").union(ways.select("b", "a"))
-        least = both.groupBy("a").agg(F.min(_spun("b", turn)).alias("m"))
+        if levels:
+            both = ways.select("a", "b").union(ways.select("b", "a"))
+            least = both.groupBy("a").agg(F.min(_spun("b", turn)).alias("m"))
+        else:
+            least = ends.select(F.col("k").alias("a"), F.col("low").alias("m"))
         level = cut(least.select("a", _spun(F.least("m", _spun("a", turn)), 64 - turn).alias("r")), what)
         at_a, at_b = level.toDF("a", "x"), level.toDF("b", "y")
         moved = ways.join(at_a, "a").select("b", "x").join(at_b, "b").where("x != y")
@@ -344,8 +349,8 @@ def _told(nodes: DataFrame, root: DataFrame, name: str, what: str) -> DataFrame:
 
 def components(graph: Subgraph) -> DataFrame:
     """``id, root``: weakly connected components, named by their smallest id."""
-    nodes, ways = _keyed(graph, "components")
-    return _told(nodes, _contracted(ways, "components"), "root", "components")
+    nodes, ways, ends = _keyed(graph, "components")
+    return _told(nodes, _contracted(ways, ends, "components"), "root", "components")
 
 
 def _spread(label: DataFrame, ways: DataFrame) -> DataFrame:
@@ -374,17 +379,16 @@ def scc(graph: Subgraph) -> DataFrame:
     key's node can be reached back are its component.  What is left goes on in
     parts of equal colour.
     """
-    nodes, ways = _keyed(graph, "scc")
+    nodes, ways, ends = _keyed(graph, "scc")
     while True:
-        ends = cut(_ends(ways), "scc")
         n, dead = ends.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.least("ins", "outs") == 0).cast("long")), F.lit(0))).first()
         if not dead:
             break
         ways = cut(_without(ways, ends.where("least(ins, outs) = 0")), "scc")
+        ends = cut(_ends(ways), "scc")
         if dead * 10 < n:
-            ends = cut(_ends(ways), "scc")
             break
-    root = _contracted(ways, "scc")
+    root = _contracted(ways, ends, "scc")
     uneven = ends.where("ins != outs").select("k")
     if not uneven.isEmpty():
         parts = cut(root.join(uneven, "k").select("root").distinct(), "scc")
@@ -395,9 +399,10 @@ def scc(graph: Subgraph) -> DataFrame:
 
 
 def _ends(ways: DataFrame) -> DataFrame:
-    """``k, ins, outs``: numbers of ways into and out of each node."""
-    each = ways.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("b").alias("k"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
-    return each.groupBy("e.k").agg(F.sum("e.i").alias("ins"), F.sum("e.o").alias("outs"))
+    """``k, ins, outs, low``: numbers of ways into and out of each node, and its least neighbour."""
+    there = ways.select(F.col("a").alias("k"), F.col("b").alias("other"), F.lit(0).alias("i"), F.lit(1).alias("o"))
+    back = ways.select(F.col("b").alias("k"), F.col("a").alias("other"), F.lit(1).alias("i"), F.lit(0).alias("o"))
+    return there.union(back).groupBy("k").agg(F.sum("i").alias("ins"), F.sum("o").alias("outs"), F.min("other").alias("low"))
 
 
 def _coloured(left: DataFrame, ways: DataFrame) -> DataFrame:
