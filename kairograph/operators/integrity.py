@@ -71,12 +71,16 @@ def _begins_within(earlier: DataFrame, later: DataFrame, x: str, y: str, key: li
 
 
 def second_open(new: DataFrame, current: DataFrame) -> DataFrame:
-    """Edges that would have two open intervals."""
+    """Edges that would have two open intervals.
+
+    The side is a text, of which the maximum is found over sorted rows; hash
+    tables of all edges took several times their memory.
+    """
     key = ["source_id", "target_id", "edge_type"]
     replaced = current.join(new.select(*BELIEF_KEY), list(BELIEF_KEY), "left_anti")
-    after = replaced.select(*BELIEF_KEY, "valid_to", F.lit(0).alias("fresh")).unionByName(new.select(*BELIEF_KEY, "valid_to", F.lit(1).alias("fresh")))
-    sums = after.where(is_open()).groupBy(*key).agg(F.countDistinct("valid_from").alias("n"), F.max("fresh").alias("fresh"))
-    return sums.where("n > 1 and fresh = 1").select(*key)
+    after = replaced.select(*BELIEF_KEY, "valid_to", F.lit("current").alias("side")).unionByName(new.select(*BELIEF_KEY, "valid_to", F.lit("new").alias("side")))
+    sums = after.where(is_open()).groupBy(*key).agg(F.min("valid_from").alias("first"), F.max("valid_from").alias("last"), F.max("side").alias("side"))
+    return sums.where("first < last and side = 'new'").select(*key)
 
 
 def unknown_ends(new: DataFrame, ids: DataFrame) -> DataFrame:

@@ -35,8 +35,14 @@ def latest_by(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
 
 
 def latest_belief(links: DataFrame) -> DataFrame:
-    """For each edge and start of validity the assertion that was recorded last."""
-    return latest_by(links, list(BELIEF_KEY), F.desc("recorded_at"))
+    """For each edge and start of validity the assertion that was recorded last.
+
+    Most assertions are the only ones of their key, so they are dealt out by the
+    edge's ends first: sorted before that, a task would hold a whole split of a
+    file. The number of parts is given, so that none is merged with others.
+    """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return latest_by(links.repartition(parts, "source_id", "target_id"), list(BELIEF_KEY), F.desc("recorded_at"))
 
 
 def as_of_edges(current: DataFrame, ts: str) -> DataFrame:
