@@ -138,11 +138,14 @@ def _keys(side: int):
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different fingerprints at :data:`DISTANCE` bits or fewer, some of them more than once."""
+    """``a, b``: pairs of different fingerprints at :data:`DISTANCE` bits or fewer, some of them more than once.
+
+    Spark sizes the keys as if there were one a fingerprint, and would broadcast tens of millions of them; so it is told to merge.
+    """
     index = prints.mapInPandas(_keys(0), "key bigint, print bigint").withColumnRenamed("print", "a")
     probe = prints.mapInPandas(_keys(1), "key bigint, print bigint").withColumnRenamed("print", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    return index.join(probe, (index["key"] == probe["key"]) & near).select("a", "b")
+    return index.join(probe.hint("merge"), (index["key"] == probe["key"]) & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

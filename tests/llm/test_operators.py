@@ -245,6 +245,14 @@ def test_links_of_close_fingerprints_are_whole(spark):
     assert got == want
 
 
+def test_keys_of_links_are_not_broadcast(spark):
+    prints = spark.range(1000).select(F.xxhash64("id").alias("print"))
+    found = simhash.links(prints)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # Spark takes the 66 keys of a fingerprint for one
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)] + [(500, i) for i in range(501, 560)]
