@@ -6,7 +6,7 @@ import zlib
 import pytest
 
 import corpus_pipeline as pipeline
-from kairograph.llm import mixing, toxicity
+from kairograph.llm import mixing, simhash, toxicity
 from tests.llm.conftest import odd_rows
 from tests.llm.test_operators import DOCS, classes, contamination, jump, slow_print, split
 
@@ -53,6 +53,13 @@ def test_one_of_each_group_of_copies_stays(spark, docs, folder):
     assert set(counted(rows)) <= set(OWN)
 
 
+def test_no_keys_of_near_copies_go_to_the_driver(spark, docs, folder, monkeypatch):
+    plans, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or components(links))
+    pipeline.near_dedup(spark, docs, folder)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_contaminated_rows_go(spark, docs, folder):
     got = pipeline.decontaminate(spark, docs, folder)
     assert got.columns == docs.columns
