@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kairograph.errors import NegativeEdgeWeight, SubgraphTooLarge
 from kairograph.functions.columns import edge_filter, instant, valid_at, weight_ok
+from kairograph.operators import sweeps as arrays
 from kairograph.operators.numbering import numbered
 from kairograph.operators.temporal import Mode, hydrate, resolved_mode
 from kairograph.sources.shared import bucketed, cut
@@ -23,6 +25,8 @@ from kairograph.sources.shared import bucketed, cut
 DEFAULT_BYTE_BUDGET = 64 << 20
 #: So many ways that are left of a contraction are joined in one task, which saves its last, small rounds.
 FEW_WAYS = 1 << 17
+#: Weak components of at most so many ways have their communities found in one task.
+WHOLE_WAYS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -260,26 +264,31 @@ def _key(node: str | Column) -> Column:
 
 
 def _keyed(graph: Subgraph, what: str) -> tuple[DataFrame, DataFrame]:
-    """``k, id`` of the nodes and ``a, b`` of the ways between two of them, with keys in place of ids; a pair may come more than once.
+    """``k, id`` of the nodes and ``a, b`` of the ways between two of them, with keys in place of ids; a pair may come more than once."""
+    nodes, ways = _hashed(graph.nodes, graph.edges.where("source_id != target_id").select("source_id", "target_id"), what)
+    ways = cut(ways.where("a != b"), what)
+    absent = cut(ways.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k"), "k", "left_anti"), what)
+    if not absent.isEmpty():
+        ways = cut(_without(ways, absent), what)
+    return nodes, ways
+
+
+def _hashed(nodes: DataFrame, edges: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """``k, id`` of the nodes, and the edges with ``a, b``, the keys of their ends, in place of ids.
 
     Should two ids share a key, nodes are numbered and keys are hashes of
-    numbers, of which no two are alike.
+    numbers, of which no two are alike.  An end that isn't a node has a key that
+    no node has, or null.
     """
-    nodes = cut(graph.nodes.select(_key("id").alias("k"), "id"), what)
-    ends = graph.edges.where("source_id != target_id").select("source_id", "target_id")
+    more = [c for c in edges.columns if c not in ("source_id", "target_id")]
+    nodes = cut(nodes.select(_key("id").alias("k"), "id"), what)
     # a second hash tells ids of one key apart
     other = nodes.groupBy("k").agg(F.min(F.xxhash64(F.lit(1), "id")).alias("x"), F.max(F.xxhash64(F.lit(1), "id")).alias("y"))
     if other.where("x != y").isEmpty():
-        ways = ends.select(_key("source_id").alias("a"), _key("target_id").alias("b")).where("a != b")
-    else:
-        told = cut(numbered(nodes.select("id").distinct(), "id", 0, "n").select("id", F.xxhash64("n").alias("k")), what)
-        nodes = cut(nodes.select("id").join(told, "id").select("k", "id"), what)
-        ways = ends.join(told.toDF("source_id", "a"), "source_id").join(told.toDF("target_id", "b"), "target_id").select("a", "b")
-    ways = cut(ways, what)
-    absent = cut(ways.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k"), "k", "left_anti"), what)
-    if not absent.isEmpty():
-        ways = cut(_without(ways, absent), what)
-    return nodes, ways
+        return nodes, edges.select(_key("source_id").alias("a"), _key("target_id").alias("b"), *more)
+    told = cut(numbered(nodes.select("id").distinct(), "id", 0, "n").select("id", F.xxhash64("n").alias("k")), what)
+    nodes = cut(nodes.select("id").join(told, "id").select("k", "id"), what)
+    return nodes, edges.join(told.toDF("source_id", "a"), "source_id", "left").join(told.toDF("target_id", "b"), "target_id", "left").select("a", "b", *more)
 
 
 def _without(ways: DataFrame, gone: DataFrame) -> DataFrame:
@@ -442,19 +451,47 @@ def modularity(graph: Subgraph, partition: DataFrame) -> DataFrame:
     return joined.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("modularity"))
 
 
-def louvain(graph: Subgraph, sweeps: int = 100, least_gain: float = 1e-12) -> DataFrame:
+def louvain(graph: Subgraph, sweeps: int = 100, least_gain: float = 1e-12, whole: int = WHOLE_WAYS) -> DataFrame:
     """``id, community``: local moves that raise modularity, until none does.
 
-    Every sweep is a set of joins.  All nodes score their neighbours'
-    communities at once, so only a part of them moves in a sweep (by a hash of
-    node and sweep), as neighbours that swap places would undo each other.  The
-    moves' order differs from a walk over the nodes one by one, and so may the
-    partition; its modularity never falls below that of single nodes.
-    Communities are merged no further, which would join small true ones.
+    All nodes score their neighbours' communities at once, so only a part of
+    them moves in a sweep (by a hash of node and sweep), as neighbours that swap
+    places would undo each other.  The moves' order differs from a walk over the
+    nodes one by one, and so may the partition; its modularity never falls below
+    that of single nodes.  Communities are merged no further, which would join
+    small true ones.
+
+    Of the rest of the graph a move needs only the total weight, so weak
+    components of ``whole`` ways at most are swept each in one task, many of them
+    at once; the sweeps of larger ones are sets of joins.
     """
     total = graph.totals().first()["total_weight"]
     if not total:
         return graph.nodes.select("id", F.col("id").alias("community"))
+    edges = graph.edges.select("source_id", "target_id", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
+    nodes, ways = _hashed(graph.nodes.where("id is not null"), edges, "louvain")
+    ways = cut(ways, "louvain")
+    root = _contracted(ways.where("a != b"), "louvain")
+    placed = cut(nodes.join(root, "k", "left"), "louvain")
+    tied = ways.select(F.coalesce("a", "b").alias("a"), F.when(F.col("a").isNotNull(), F.col("b")).alias("b"), "weight").join(root.toDF("a", "root"), "a")
+    tied = cut(tied, "louvain")
+    large = cut(tied.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select("root"), "louvain")
+    lone, inner = placed.where("root is null"), placed.where("root is not null")
+    parts = [lone.select("id", F.col("id").alias("community"))]
+    if not large.isEmpty():
+        parts.append(_by_joins(Subgraph(inner.join(large, "root").select("id"), graph.edges), total, sweeps, least_gain))
+        inner, tied = (part.join(large, "root", "left_anti") for part in (inner, tied))
+    kind = F.when(F.col("b").isNull(), arrays.HALF).otherwise(arrays.WAY)
+    rows = inner.select("root", "id", F.lit(arrays.NODE).alias("kind"), F.col("k").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("weight")).union(
+        tied.select("root", F.lit(None).cast("string"), kind, "a", F.coalesce("b", F.lit(0)), "weight")
+    )
+    dealt = rows.repartition("root").sortWithinPartitions("root", "id")
+    parts.append(cut(dealt.mapInPandas(arrays.communities(total, sweeps, least_gain), "id string, community string"), "louvain"))
+    return reduce(DataFrame.union, parts)
+
+
+def _by_joins(graph: Subgraph, total: float, sweeps: int, least_gain: float) -> DataFrame:
+    """:func:`louvain` of nodes that are whole weak components of a graph of weight ``total``; every sweep is a set of joins."""
     # numbers in the order of ids, so that the smaller of two communities stays the one with the smaller name
     nodes = cut(graph.nodes.select("id").repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("k"), "id"), "louvain")
     state = cut(nodes.join(graph.degrees().select("id", F.col("weighted_degree").alias("deg")), "id").select("k", "id", "deg", F.col("k").alias("community")), "louvain")

@@ -5,9 +5,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kairograph.errors import SubgraphTooLarge
-from kairograph.operators import graph
+from kairograph.operators import graph, sweeps
 
 EDGE = "source_id string, target_id string, edge_type string, weight double"
 
@@ -217,3 +218,41 @@ def test_communities_make_the_edges_a_few_times(spark):
     assert part.count() == 49 and {r.community for r in part.where("id = 'c48'").collect()} == {"c48"}
     assert made.value <= 4 * len(ring)  # for the totals, the degrees and the ways; every sweep made them anew before
     assert graph.modularity(g, part).first()[0] > 0.4
+
+
+def test_turns_are_those_of_spark(spark):
+    rows = spark.range(200).selectExpr("concat('o', id) AS id", "cast(id % 7 AS int) AS sweep").selectExpr("xxhash64(id) AS k", "sweep", "pmod(xxhash64(id, sweep), 2L) = 0 AS turn").toPandas()
+    for sweep, of in rows.groupby("sweep"):
+        assert sweeps.turns(of["k"].to_numpy(), sweep).tolist() == of["turn"].tolist()
+
+
+def rings(n, m, seed):
+    """Edges of ``n`` rings of ``m`` nodes with chords, loops and ways that come twice."""
+    rng = random.Random(seed)
+    edges = [(m * r + i, m * r + (i + 1) % m, 1.0) for r in range(n) for i in range(m)]
+    edges += [(m * r + rng.randrange(m), m * r + rng.randrange(m), rng.choice([0.25, 0.5, 2.0])) for r in range(n) for _ in range(m // 2)]
+    return edges + edges[:3]
+
+
+def test_a_component_in_one_task_moves_as_by_joins(spark):
+    g = make(spark, 16, rings(1, 14, 0) + [(3, 99, 0.5), (98, 4, 0.5)])  # and ends that are no nodes
+    want = sorted(map(tuple, graph.louvain(g, whole=0).collect()))
+    assert sorted(map(tuple, graph.louvain(g).collect())) == want and len(want) == 16
+
+
+def test_components_large_and_small(spark, monkeypatch):
+    monkeypatch.setattr(sweeps, "PORTION", 7)
+    g = make(spark, 60, rings(5, 9, 3) + [(45 + i, 46 + i, 1.0) for i in range(10)])
+    whole, mixed = (graph.louvain(g, whole=limit) for limit in (1 << 17, 10))
+    assert [(p.count(), p.select("id").distinct().count()) for p in (whole, mixed)] == [(60, 60), (60, 60)]
+    # each component of a task keeps its own best state, so the whole isn't below one state for all large ones
+    assert graph.modularity(g, whole).first()[0] >= graph.modularity(g, mixed).first()[0] - 1e-9
+    monkeypatch.setattr(graph, "_key", lambda c: F.pmod(F.xxhash64(c), F.lit(2)))  # keys that ids share
+    other = graph.louvain(g)
+    assert other.select("id").distinct().count() == 60 == other.count() and graph.modularity(g, other).first()[0] > 0.4
+
+
+def test_sweeps_of_small_components_store_nothing(spark, monkeypatch):
+    g, stored = make(spark, 48, [(12 * r + i, 12 * r + (i + 1) % 12, 1.0) for r in range(4) for i in range(12)]), cuts(monkeypatch)
+    assert graph.louvain(g).count() == 48
+    assert len(stored) < 10  # two or more a sweep before
